@@ -43,7 +43,7 @@ shaped AS (
          string_split(h, d) AS names FROM r),
 plain AS (
   SELECT *, CASE WHEN NOT quotes_ok THEN 'quoting' WHEN len(f) <> len(names) THEN 'column_count' END AS shape,
-         list_transform(f, x -> CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM shaped),
+         list_transform(f, lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM shaped),
 named AS (
   SELECT raw_id, shape, v[list_position(names, 'name')] AS name, v[list_position(names, 'confidence')] AS confidence,
          v[list_position(names, 'evidence_url')] AS evidence_url FROM plain),
