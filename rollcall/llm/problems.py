@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm.mixing import mix_documents, mix_report
+from rollcall.llm.packing import fill_report, pack_documents
 from rollcall.llm.sentences import split_sentences
 from rollcall.session import table
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Where every piece of every document lies, for each capacity."""
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p6_packed(spark, d), table(spark, d, "pack_capacities"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return mix_report(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every document."""
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found}
+QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
