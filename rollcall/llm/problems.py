@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm.canonical import map_titles_and_places
 from rollcall.llm.mixing import mix_documents, mix_report
 from rollcall.llm.packing import fill_report, pack_documents
 from rollcall.llm.sentences import split_sentences
 from rollcall.session import table
 
 
+def p4_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Typed titles and cities with their entry and score."""
+    return map_titles_and_places(*(table(spark, d, t) for t in ("roster", "institutions_geocoded", "titles", "city_list")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Typed titles and cities with their entry, 0 where they name none."""
+    return p4_scored(spark, d).select("field_name", "row_key", "canon_id")
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Where every piece of every document lies, for each capacity."""
     return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
@@ -35,4 +46,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p4_scored": p4_scored, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
