@@ -7,12 +7,17 @@ and keeps the best entry of each value. Values are joined once per distinct spel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.normalize import fold_words, mend_encoding
+from rollcall.functions.normalize import PLAIN_LETTERS
+from rollcall.llm.persons import mend
+from rollcall.session import cut
 
 # Short and other forms of titles, by the folded local title.
 TITLE_FORMS = {
@@ -112,18 +117,18 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) ->
     return full.withColumn("jaccard", similarity(F.col("ta"), F.col("tb"))).filter(F.col("jaccard") >= threshold).select("grp", "left_id", "right_id", "jaccard")
 
 
-def map_values(values: DataFrame, entries: DataFrame, threshold: float, accept: float, whole: float = 0.6) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, threshold: float, accept_title: float, accept_place: float, whole: float = 0.6) -> DataFrame:
     """(grp, value, canon_id, score): the best entry of each distinct (grp, value); canon_id 0 where none is near enough.
 
     values: (grp, value, folded, variants array<string>), variants being folded readings of the value, the whole one
     included. entries: (grp, canon_id, form), form folded; an entry may have several forms and groups. The score is a
     mean of the best variant's Jaccard similarity and the whole value's, whole being the latter's weight; the
-    entry with the largest sum of score and edit similarity is kept, at a tie the one with the smaller canon_id. accept is the least score.
+    entry with the largest sum of score and edit similarity is kept, at a tie the one with the smaller canon_id. The accept limits are the least scores by kind.
     """
     readings = values.select("grp", "value", "folded", F.explode("variants").alias("id")).filter("id <> ''").distinct()
-    left = readings.select("grp", "id").distinct().withColumn("tokens", letter_pairs(F.col("id")))
-    right = entries.select("grp", F.col("form").alias("id")).filter("form <> ''").distinct().withColumn("tokens", letter_pairs(F.col("id")))
-    near = set_similarity_join(left, right, threshold)
+    left = cut(readings.select("grp", "id").distinct().withColumn("tokens", letter_pairs(F.col("id"))))
+    right = cut(entries.select("grp", F.col("form").alias("id")).filter("form <> ''").distinct().withColumn("tokens", letter_pairs(F.col("id"))))
+    near = cut(set_similarity_join(left, right, threshold))
     found = readings.join(near.withColumnRenamed("left_id", "id"), ["grp", "id"]).join(entries.withColumnRenamed("form", "right_id"), ["grp", "right_id"])
     form, folded = F.col("right_id"), F.col("folded")
     entire = similarity(letter_pairs(folded), letter_pairs(form))
@@ -131,83 +136,104 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float, accept:
     near_by_edits = 1 - F.levenshtein(folded, form) / F.greatest(F.length(folded), F.length(form), F.lit(1))
     best = found.groupBy("grp", "value").agg(F.max_by(F.struct("canon_id", "score"), F.struct(F.round(F.col("score") + near_by_edits, 9), -F.col("canon_id"))).alias("b"))
     out = values.select("grp", "value").distinct().join(best, ["grp", "value"], "left")
-    good = F.coalesce(F.col("b.score") >= accept, F.lit(False))
+    good = F.coalesce(F.col("b.score") >= F.when(F.col("grp").startswith("t:"), accept_title).otherwise(accept_place), F.lit(False))
     return out.select("grp", "value", F.when(good, F.col("b.canon_id")).otherwise(F.lit(0)).cast("long").alias("canon_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
-def _segments(c: Column, pattern: str) -> Column:
-    return F.split(mend_encoding(c), pattern)
+def fold_words(text: str) -> str:
+    """Lower-case words of plain letters and digits, one blank between them."""
+    text = mend(text).lower()
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(_PLAIN)
+    return " ".join(_WORDS.findall(text))
 
 
-def title_variants(value: Column) -> tuple[Column, Column]:
-    """(folded whole, variants) of a typed title: without decoration, and each part between marks."""
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(fold_words(c), TITLE_DECOR, ""), TITLE_DECOR, ""), r"^(\d+ )?(?=[a-z]{3})", ""))
-    whole = F.when(fold_words(value).rlike("^1 amanu"), fold_words(value)).otherwise(clean(value))
-    parts = F.transform(_segments(value, r"[,/()&–—;:|]| - |^\s*\*| in | of | for "), clean)
-    joined = F.replace(whole, F.lit(" "), F.lit(""))
-    return whole, F.array_distinct(F.concat(F.array(whole, fold_words(value), joined), F.filter(parts, lambda p: F.length(p) >= 2)))
+def title_variants(value: str) -> tuple[str, list[str]]:
+    """(folded whole, readings) of a typed title: without decoration, and each part between marks."""
 
+    def clean(text: str) -> str:
+        t = fold_words(text)
+        if t.startswith("1 amanu"):
+            return t
+        t = _TITLE_DECOR.sub("", _TITLE_DECOR.sub("", t)).strip()
+        return re.sub(r"^(\d+ )?(?=[a-z]{3})", "", t)
 
-def place_fold(c: Column) -> Column:
-    """Folded place without digits, double letters for umlauts and rings read as one."""
-    c = F.regexp_replace(fold_words(c), r"\b\d[\d ]*\b", " ")
-    for pair, one in (("ae", "a"), ("oe", "o"), ("ue", "u"), ("aa", "a")):
-        c = F.replace(c, F.lit(pair), F.lit(one))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    whole = clean(value)
+    parts = [clean(x) for x in re.split(r"[,/()&–—;:|]| - |^\s*\*| in | of | for ", mend(value))]
+    return whole, list(dict.fromkeys([whole, fold_words(value), whole.replace(" ", ""), *(x for x in parts if len(x) >= 2)]))
 
 
-def place_variants(value: Column) -> tuple[Column, Column]:
-    """(folded whole, variants) of a typed place: without country, number and decoration, and with long forms."""
-    countries = COUNTRY_NAMES.replace(" ", "|").replace("united|kingdom", "united kingdom")
-    decor = PLACE_DECOR.replace("ae", "a").replace("oe", "o").replace("ue", "u")
-    countries = countries.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+def place_fold(text: str) -> str:
+    """Folded place without numbers; double letters for umlauts and rings are read as one."""
+    t = re.sub(r"\b\d[\d ]*\b", " ", fold_words(text))
+    for pair, one in _DOUBLES:
+        t = t.replace(pair, one)
+    return " ".join(t.split())
+
+
+_TITLE_DECOR = re.compile(TITLE_DECOR)
+_PLAIN = str.maketrans(PLAIN_LETTERS)
+_WORDS = re.compile(r"[^\W_]+")
+_DOUBLES = (("ae", "a"), ("oe", "o"), ("ue", "u"), ("aa", "a"))
+_COUNTRY = re.compile(" (?:" + "|".join(place_fold(c) for c in [*COUNTRY_NAMES.split("|")[0].split(), *COUNTRY_NAMES.split("|")[1:]]) + ")$")
+_PLACE_DECOR = re.compile(PLACE_DECOR)
+
+
+def place_variants(value: str) -> tuple[str, list[str]]:
+    """(folded whole, readings) of a typed place: without country, number and decoration, and with long forms."""
+
+    def strip(t: str) -> str:
+        return _PLACE_DECOR.sub("", _COUNTRY.sub("", t)).strip()
+
     whole = place_fold(value)
-    # "building 4" has lost its number by now; both forms are taken off.
-    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, rf" (?:{countries})$", ""), decor + r"| (?:building|biulding|bilding)$", ""))
     bare = strip(strip(whole))
-    long = [F.when(bare.startswith(a), F.concat(F.lit(b), F.substring(bare, F.lit(len(a) + 1), F.lit(200)))).otherwise(bare) for a, b in PLACE_FORMS]
-    parts = F.transform(_segments(value, r"[,/()–—;:|]| - "), lambda p: strip(place_fold(p)))
-    return bare, F.array_distinct(F.concat(F.array(bare, whole, *long), F.filter(parts, lambda p: F.length(p) >= 4)))
+    long = [b + bare[len(a) :] for a, b in PLACE_FORMS if bare.startswith(a)]
+    parts = [strip(place_fold(x)) for x in re.split(r"[,/()–—;:|]| - ", mend(value))]
+    return bare, list(dict.fromkeys([bare, whole, *long, *(x for x in parts if len(x) >= 4)]))
+
+
+def readings_of(distinct: DataFrame) -> DataFrame:
+    """(grp, value, folded, variants) of distinct (grp, value); groups that begin with t hold titles, others places."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [(title_variants if g.startswith("t") else place_variants)(v) for g, v in zip(b["grp"], b["value"], strict=True)]
+            yield pd.DataFrame({"grp": b["grp"], "value": b["value"], "folded": [x[0] for x in both], "variants": [x[1] for x in both]})
+
+    return distinct.mapInPandas(run, "grp string, value string, folded string, variants array<string>")
 
 
 def title_entries(titles: DataFrame, countries: DataFrame, forms: dict[str, str] = TITLE_FORMS) -> DataFrame:
-    """(grp, canon_id, form) of the list of titles; entries of XX belong to every country of `countries` (grp)."""
-    local = fold_words(F.col("title_local"))
-    known = F.create_map(*[x for k, v in forms.items() for x in (F.lit(k), F.lit(v))])
-    # "any professor" describes an entry and isn't a form of it.
-    english = F.regexp_replace(fold_words(F.regexp_replace("title_en", r"\([^)]*\)", "")), r"^any .*", "")
-    every = titles.select(F.lower("country").alias("country"), F.col("title_id").alias("canon_id"), F.explode(F.concat(F.array(local, english), F.coalesce(F.split(known[local], r"\|"), F.array().cast("array<string>")))).alias("form"))
-    own = every.filter("country <> 'xx'").select(F.col("country").alias("grp"), "canon_id", "form")
-    shared = every.filter("country = 'xx'").select("canon_id", "form")
+    """(grp, canon_id, form) of the list of titles; entries of XX belong to every country of `countries` (grp).
+
+    "any professor" in title_en describes an entry and isn't a form of it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for country, i, local, english in b[["country", "title_id", "title_local", "title_en"]].itertuples(index=False):
+                own = fold_words(local or "")
+                other = fold_words(re.sub(r"\([^)]*\)", "", english or ""))
+                rows += [((country or "").lower(), i, f) for f in {own, *forms.get(own, "").split("|"), "" if other.startswith("any ") else other} if f]
+            yield pd.DataFrame(rows, columns=["grp", "canon_id", "form"])
+
+    every = titles.mapInPandas(run, "grp string, canon_id bigint, form string")
+    own = every.filter("grp <> 'xx'").withColumn("grp", F.concat(F.lit("t:"), "grp"))
     # The countries are folded into one array beside each form: a few dozen names, whatever the number of rows.
     groups = countries.agg(F.collect_set("grp").alias("grps"))
-    return own.unionByName(shared.join(F.broadcast(groups)).select(F.explode("grps").alias("grp"), "canon_id", "form")).distinct()
+    shared = every.filter("grp = 'xx'").select("canon_id", "form").join(F.broadcast(groups)).select(F.explode("grps").alias("grp"), "canon_id", "form")
+    return own.unionByName(shared).distinct()
 
 
 def place_entries(cities: DataFrame) -> DataFrame:
-    names = F.concat(F.array("city"), F.split(F.coalesce("alt_names", F.lit("")), r"\|"))
-    return cities.select(F.lower("country").alias("grp"), F.col("city_id").alias("canon_id"), F.explode(F.transform(names, place_fold)).alias("form")).filter("form <> ''").distinct()
+    """(grp, canon_id, form) of the list of cities, under their names and known other names."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [("p:" + (c or "").lower(), i, place_fold(n)) for c, i, city, alt in b[["country", "city_id", "city", "alt_names"]].itertuples(index=False) for n in [city or "", *(alt or "").split("|")]]
+            yield pd.DataFrame(rows, columns=["grp", "canon_id", "form"])
 
-def mapped_rows(rows: DataFrame, fields: Sequence[str], variants, entries: DataFrame, exact: DataFrame, threshold: float, accept: float) -> DataFrame:
-    """(field_name, row_key, canon_id, score) of non-blank values that are not spelled exactly like an entry.
-
-    rows: (row_key, grp, and the fields); exact: (grp, value) spellings that need no mapping, grp null for any group.
-    Null and blank values give no row.
-    """
-    long = None
-    for f in fields:
-        one = rows.select(F.lit(f).alias("field_name"), "row_key", "grp", F.col(f).alias("value"))
-        long = one if long is None else long.unionByName(one)
-    typed = long.filter(F.length(F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)\s+", "")) > 0)
-    any_group = exact.filter("grp is null").select("value").distinct()
-    own_group = exact.filter("grp is not null").select("grp", "value").distinct()
-    typed = typed.join(any_group, "value", "left_anti").join(own_group, ["grp", "value"], "left_anti")
-    distinct = typed.select("grp", "value").distinct()
-    folded, readings = variants(F.col("value"))
-    distinct = distinct.select("grp", "value", folded.alias("folded"), readings.alias("variants"))
-    mapped = map_values(distinct, entries, threshold, accept)
-    return typed.join(mapped, ["grp", "value"], "left").select("field_name", "row_key", F.coalesce("canon_id", F.lit(0)).cast("long").alias("canon_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return cities.mapInPandas(run, "grp string, canon_id bigint, form string").filter("form <> ''").distinct()
 
 
 #: Least Jaccard similarity at which a reading and an entry meet, and least score at which the best entry is taken.
@@ -216,13 +242,23 @@ PLACE_LIMITS = (0.3, 0.4)
 
 
 def map_titles_and_places(roster: DataFrame, institutions: DataFrame, titles: DataFrame, cities: DataFrame) -> DataFrame:
-    """(field_name, row_key, canon_id, score) for roster.title_verbatim and institutions' city_expected and ror_city."""
-    home = institutions.select("inst_id", F.lower(F.trim("country")).alias("grp")).filter("inst_id is not null").dropDuplicates(["inst_id"])
-    people = roster.select(F.col("roster_id").alias("row_key"), "inst_id", "title_verbatim").join(home, "inst_id", "left")
-    people = people.withColumn("grp", F.coalesce("grp", F.lower(F.substring_index("inst_id", "-", 1)), F.lit("?"))).drop("inst_id")
-    exact_titles = titles.select(F.explode(F.array("title_local", "title_en")).alias("value")).filter("value is not null").select(F.lit(None).cast("string").alias("grp"), "value")
-    a = mapped_rows(people, ["title_verbatim"], title_variants, title_entries(titles, people.select("grp").distinct()), exact_titles, *TITLE_LIMITS)
-    places = institutions.select(F.col("inst_key").alias("row_key"), F.coalesce(F.lower(F.trim("country")), F.lit("?")).alias("grp"), "city_expected", "ror_city")
-    exact_places = cities.select(F.lower("country").alias("grp"), F.col("city").alias("value"))
-    b = mapped_rows(places, ["city_expected", "ror_city"], place_variants, place_entries(cities), exact_places, *PLACE_LIMITS)
-    return a.unionByName(b)
+    """(field_name, row_key, canon_id, score) for roster.title_verbatim and institutions' city_expected and ror_city.
+
+    Non-blank values that are spelled exactly like an entry need no mapping and give no row; null and blank values give
+    none either. The entries of a row are those of its country; a row without a country meets only the shared titles.
+    """
+    country = F.lower(F.trim(F.coalesce("country", F.lit(""))))
+    home = institutions.filter("inst_id is not null").select("inst_id", country.alias("c")).dropDuplicates(["inst_id"])
+    people = roster.select(F.col("roster_id").alias("row_key"), "inst_id", F.col("title_verbatim").alias("value")).join(home, "inst_id", "left")
+    people = people.select(F.lit("title_verbatim").alias("field_name"), "row_key", F.concat(F.lit("t:"), F.coalesce("c", F.lower(F.substring_index("inst_id", "-", 1)), F.lit(""))).alias("grp"), "value")
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("city_expected", "ror_city")])).alias("f")
+    places = institutions.select(F.col("inst_key").alias("row_key"), F.concat(F.lit("p:"), country).alias("grp"), fields).select("f.field_name", "row_key", "grp", "f.value")
+    exact_title = titles.select(F.explode(F.array("title_local", "title_en")).alias("value")).filter("value is not null").distinct()
+    exact_place = cities.select(F.concat(F.lit("p:"), F.lower("country")).alias("grp"), F.col("city").alias("value")).distinct()
+    full = F.length(F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)\s+", "")) > 0
+    typed = people.filter(full).join(exact_title, "value", "left_anti").unionByName(places.filter(full).join(exact_place, ["grp", "value"], "left_anti"))
+    typed = cut(typed)
+    values = cut(readings_of(typed.select("grp", "value").distinct()))
+    entries = cut(title_entries(titles, typed.filter("grp like 't:%'").select("grp").distinct()).unionByName(place_entries(cities)))
+    mapped = map_values(values, entries, min(TITLE_LIMITS[0], PLACE_LIMITS[0]), TITLE_LIMITS[1], PLACE_LIMITS[1])
+    return typed.join(mapped, ["grp", "value"], "left").select("field_name", "row_key", F.coalesce("canon_id", F.lit(0)).cast("long").alias("canon_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
