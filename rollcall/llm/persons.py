@@ -18,20 +18,20 @@ from pyspark.sql import functions as F
 from rollcall.functions.normalize import LOOKALIKES, PLAIN_LETTERS
 
 # Name particles, titles and remarks, which are no part of a name.
-PARTICLES = frozenset("van von der den de del della di da du la le ten ter te zu zum el al bin ibn y e".split())
+PARTICLES = frozenset("van vander vanden vande von der den de del della di da du la le ten ter te zu zum el al bin ibn".split())
 HONORIFICS = frozenset("prof professor dr phd ph d ing dipl msc bsc mr mrs ms frau herr sir dame emeritus em hc habil di mag mlle mme sig dott dottssa on leave retired since part time".split())
 # Short forms of given names, by folded full form.
 SHORT_FORMS = """
 benjamin ben|edward ted ned ed eddie|elizabeth beth liz lisa betty|alexandra alex sasha|alexander alex sasha|christopher chris kit|margaret meg maggie peggy
 |robert bob rob bobby|william bill will liam|samantha sam|samuel sam|victoria vicky tori|thomas tom|richard dick rick|michael mike mick|katherine kate kathy|catherine cathy kate
 |agnieszka aga agusia|malgorzata gosia malgosia|katarzyna kasia|joanna asia|zbigniew zbyszek|wladyslaw wladek|pawel pawelek|bozena bozenka
-|francisco paco pancho curro|jose pepe|dolores lola|concepcion concha conchita|mercedes merche|guadalupe lupe|inmaculada inma|joaquin quino ximo|begona bego|ignacio nacho|inigo inaki|ruben rube
-|wilhelmina mina willemijn mien|margriet griet|cornelis cor kees|hendrik henk|pieternella nel petra|liesbeth lies|maarten maart|marijke rijke|sjoerd sjo|johannes hans johan|sebastian basti seb bastian|matthias matze matt|maximilian max|wolfgang wolf|friedrich fritz fred|hildegard hilde|katharina kathi katrin|theresa resi|elisabeth elli lisl sissi|guenther gunter|gunther gunter|gudrun guri|andreas andi|ruediger rudi|rudiger rudi|sabine bine|annelise anne lise
-|nataliya natasha|tatyana tanya|yekaterina katya|aleksei alyosha lyosha|dmitri dima mitya|mikhail misha|sergei seryozha|yuliya yulia|kseniya ksyusha|yuri yura|nikolai kolya
-|panagiotis panos takis|konstantinos kostas dinos|georgios giorgos yorgos|dimitrios dimitris mitsos|eleftheria ria|paraskevi vivi evi|vasiliki vaso vicky|aikaterini katerina
+|francisco fran paco pancho curro|jose pepe|dolores lola|concepcion concha conchita|mercedes merche|guadalupe lupe|inmaculada inma|joaquin quino ximo|begona bego|ignacio nacho|inigo inaki|ruben rube
+|wilhelmina mina willemijn mien|margriet griet|cornelis cor kees|hendrik henk|pieternella nel petra|liesbeth lies liesje|maarten maart|marijke rijke|sjoerd sjo|johannes hans johan|sebastian basti seb bastian|matthias matze matt|maximilian max|wolfgang wolf|friedrich fritz fred|hildegard hilde|katharina kathi katrin|theresa resi|elisabeth elli lisl sissi|guenther gunter|gunther gunter|gudrun guri|andreas andi|ruediger rudi|rudiger rudi|sabine bine|annelise anne lise
+|nataliya natasha|tatyana tanya|yekaterina katya|aleksei alexey alexei alyosha lyosha|dmitri dima mitya|mikhail misha|sergei seryozha|yuliya yulia julia|kseniya ksyusha|yuri yura|nikolai kolya
+|panagiotis panos takis|konstantinos kostas dinos|georgios giorgos yorgos|dimitrios dimitris mitsos|eleftheria ria|paraskevi voula vivi evi|vasiliki vasso vaso vicky|aikaterini katerina
 |giovanni gianni nanni|giuseppina pina giusi|francesca franca|alessandro sandro ale|antonella anto nella|vincenzo enzo|niccolo nico|matteo teo|ludovica ludo|chiara chiaretta
-|guillaume gui|sebastien seb|francois fanfan|benoit ben|oceane oce|aurelie lilie|mathilde thilde|thibault thib tibo|jean-luc jl
-|torstein tor|oyvind oivind|bjorn bear|hakon haakon|ragnhild ragna|ingebjorg inge|magnus mags|kjersti kjerst|mehmet memo|aysegul ayse|ozlem ozi|raghunath raghu|rajendra raj|lakshmi laxmi|meenakshi meena|priyanka priya
+|guillaume gui|sebastien seb|francois fanfan|benoit ben|oceane oce|aurelie lilie|mathilde thilde tilde|thibault thib tibo|jean-luc jl
+|torstein tor|oyvind oivind|bjorn bear|hakon haakon|ragnhild ragna|ingebjorg inge|magnus mags|kjersti kjerst|mehmet memo|aysegul ayse|ozlem ozi|raghunath raghu|rajendra raj|subramaniam subbu mani|elisabetta betta elisa lisa|lakshmi laxmi|meenakshi meena|priyanka priya
 """
 _GENERIC = """university universitat universitaet universite universita universidad college academy academie institute institut instituto centre center department dept faculty school research group campus
 for of the and de des du la le van der den von upon learning systems visual computing computation speech processing machine perception autonomous robotics neural cognitive decision sciences statistical language
@@ -47,6 +47,7 @@ _LOOK = str.maketrans(LOOKALIKES)
 _PLAIN = str.maketrans(PLAIN_LETTERS)
 _DIGIT = str.maketrans("015", "ols")
 _LETTER_DIGIT = re.compile(r"(?<=[^\W\d_])[015]|[015](?=[^\W\d_])")
+_GLUED = re.compile(r"\b((?:van|von|de|der|den|ten|ter|la|le|di|del|della)+)(?=[^\W\d_a-zà-ÿ])")
 _SPLIT = re.compile(r"[^\w]+")
 _SUFFIX = re.compile(r"\s(\d{4})$")
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
@@ -87,6 +88,8 @@ def name_key(text: str) -> str:
     text = mend(unicodedata.normalize("NFC", text)).replace(" ", " ").strip()
     text = re.sub(r"\s+[–—*].*$|\s*\([^)]*\)|\*+$", "", text)
     text = re.sub(r"[*]+", " ", text).strip()
+    text = re.sub(r",?\s*\b(?:[MB]\.\s?(?:Sc|A|Eng)|Ph\.\s?D|Dr\.\s?(?:rer|phil|med|h)\.[\w. ]*)\.?$", "", text)
+    text = _GLUED.sub(r"\1 ", text)
     number = ""
     m = _SUFFIX.search(text)
     if m:
@@ -131,6 +134,8 @@ def token_match(a: str, b: str) -> float:
         return 0.6 if y[0] == x else 0.0
     if x == y:
         return 1.0
+    if x.replace("rn", "m") == y.replace("rn", "m"):
+        return 0.95
     if y in _SHORT.get(x, ()) or x in _SHORT.get(y, ()) or _SHORT.get(x, set()) & _SHORT.get(y, set()):
         return 0.95
     if a.endswith(".") and y.startswith(x):
@@ -170,7 +175,7 @@ def name_match(a: str, b: str) -> tuple[float, bool]:
         slip += best == 0.9
         solid += best >= 0.9 and min(len(t), len(u)) >= 4
         full += best >= 0.8
-    if not solid or slip > 1:
+    if not solid or slip > 2 or slip == 2 and min(map(len, x)) < 5:
         return 0.0, False
     return total / len(x) - 0.02 * len(free), bool(slip)
 

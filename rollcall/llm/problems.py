@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from rollcall.llm.canonical import map_titles_and_places
 from rollcall.llm.mixing import mix_documents, mix_report
 from rollcall.llm.packing import fill_report, pack_documents
+from rollcall.llm.persons import candidate_records, checked_records, person_records
 from rollcall.llm.sentences import split_sentences
+from rollcall.llm.variants import linked_variants
 from rollcall.session import table
 
 
@@ -21,6 +23,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_scored(spark, d).select("field_name", "row_key", "canon_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records of one person under different spellings."""
+    people, index, checked, places = (table(spark, d, t) for t in ("candidates_csrankings", "dblp_persons", "roster_checked", "institutions_geocoded"))
+    return linked_variants(candidate_records(people).unionByName(person_records(index)).unionByName(checked_records(checked, places)))
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Where every piece of every document lies, for each capacity."""
     return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
@@ -46,4 +54,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_scored": p4_scored, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p4_found": p4_found, "p4_scored": p4_scored, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
