@@ -26,9 +26,9 @@ benjamin ben|edward ted ned ed eddie|elizabeth beth liz lisa betty|alexandra ale
 |robert bob rob bobby|william bill will liam|samantha sam|samuel sam|victoria vicky tori|thomas tom|richard dick rick|michael mike mick|katherine kate kathy|catherine cathy kate
 |agnieszka aga agusia|malgorzata gosia malgosia|katarzyna kasia|joanna asia|zbigniew zbyszek|wladyslaw wladek|pawel pawelek|bozena bozenka
 |francisco fran paco pancho curro|jose pepe|dolores lola|concepcion concha conchita|mercedes merche|guadalupe lupe|inmaculada inma|joaquin quino ximo|begona bego|ignacio nacho|inigo inaki|ruben rube
-|wilhelmina mina willemijn mien|margriet griet|cornelis cor kees|hendrik henk|pieternella nel petra|liesbeth lies liesje|maarten maart|marijke rijke|sjoerd sjo|johannes hans johan|sebastian basti seb bastian|matthias matze matt|maximilian max|wolfgang wolf|friedrich fritz fred|hildegard hilde|katharina kathi katrin|theresa resi|elisabeth elli lisl sissi|guenther gunter|gunther gunter|gudrun guri|andreas andi|ruediger rudi|rudiger rudi|sabine bine|annelise anne lise
-|nataliya natasha|tatyana tanya|yekaterina katya|aleksei alexey alexei alyosha lyosha|dmitri dima mitya|mikhail misha|sergei seryozha|yuliya yulia julia|kseniya ksyusha|yuri yura|nikolai kolya
-|panagiotis panos takis|konstantinos kostas dinos|georgios giorgos yorgos|dimitrios dimitris mitsos|eleftheria ria|paraskevi voula vivi evi|vasiliki vasso vaso vicky|aikaterini katerina
+|wilhelmina mina willemijn mien|margriet griet|cornelis cor kees|hendrik henk|pieternella nel petra|liesbeth lies liesje|maarten maart|marijke rijke|sjoerd sjo|johannes hans johan hannes|sebastian basti seb bastian|matthias matze matt|maximilian max|wolfgang wolf|friedrich fritz fred|hildegard hilde|katharina kathi katrin kate kathe|stanislaw staszek stas|theresa resi|elisabeth elli lisl sissi|guenther gunter|gunther gunter|gudrun guri|andreas andi|ruediger rudi|rudiger rudi|sabine bine|annelise anne lise
+|nataliya natasha natalia nataliia|tatyana tanya tatiana|yekaterina katya ekaterina katia|aleksei alexey alexei alyosha lyosha|dmitri dima mitya dmitry dmitrii|mikhail misha|sergei seryozha sergey|yuliya yulia julia iuliia juliya|kseniya ksyusha ksenia xenia|yuri yura yury iurii|nikolai kolya
+|panagiotis panos takis|konstantinos kostas dinos|georgios giorgos yorgos george|dimitrios dimitris mitsos|eleftheria ria|paraskevi voula vivi evi|vasiliki vasso vaso vicky|aikaterini katerina
 |giovanni gianni nanni|giuseppina pina giusi|francesca franca|alessandro sandro ale|antonella anto nella|vincenzo enzo|niccolo nico|matteo teo|ludovica ludo|chiara chiaretta
 |guillaume gui|sebastien seb|francois fanfan|benoit ben|oceane oce|aurelie lilie|mathilde thilde tilde|thibault thib tibo|jean-luc jl
 |torstein tor|oyvind oivind|bjorn bear|hakon haakon|ragnhild ragna|ingebjorg inge|magnus mags|kjersti kjerst|mehmet memo|aysegul ayse|ozlem ozi|raghunath raghu|rajendra raj|subramaniam subbu mani|elisabetta betta elisa lisa|lakshmi laxmi|meenakshi meena|priyanka priya
@@ -161,7 +161,7 @@ def name_match(a: str, b: str) -> tuple[float, bool]:
         x, y = y, x
     if len(x) < 2:
         return (1.0, False) if x == y and len(x) and len(x[0]) > 3 else (0.0, False)
-    free, total, solid, full, slip = list(y), 0.0, 0, 0, 0
+    free, total, solid, slip, bare = list(y), 0.0, 0, 0, False
     for t in sorted(x, key=len, reverse=True):
         best, at = 0.0, -1
         for i, u in enumerate(free):
@@ -174,9 +174,11 @@ def name_match(a: str, b: str) -> tuple[float, bool]:
         total += best
         slip += best == 0.9
         solid += best >= 0.9 and min(len(t), len(u)) >= 4
-        full += best >= 0.8
+        bare = bare or best == 0.6 and len(t) >= 4
     if not solid or slip > 2 or slip == 2 and min(map(len, x)) < 5:
         return 0.0, False
+    if bare and y[-1] in free:
+        return 0.0, False  # a whole word went with an initial while the family name is left over
     return total / len(x) - 0.02 * len(free), bool(slip)
 
 
@@ -225,6 +227,25 @@ def describe(records: DataFrame) -> DataFrame:
     return records.mapInPandas(run, FEATURES)
 
 
+def mark_wide_places(features: DataFrame, share: float = 0.001, least: int = 30) -> DataFrame:
+    """Features with ~ before place words that more than `share` of the records, and more than `least`, have.
+
+    Such words name a town rather than an institution. There are at most 1 / share times the mean number of words of a
+    record, whatever the number of records, so their list is small enough to send along.
+    """
+    most = max(least, int(features.count() * share))
+    wide = [r["w"] for r in features.select(F.explode("places").alias("w")).groupBy("w").count().filter(F.col("count") > most).select("w").collect()]
+    if not wide:
+        return features
+    listed = features.sparkSession.sparkContext.broadcast(frozenset(wide))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(places=[["~" + w if w in listed.value else w for w in ws] for ws in b["places"]])
+
+    return features.mapInPandas(run, FEATURES)
+
+
 def _pipe(c: str) -> Column:
     return F.split(F.coalesce(F.col(c), F.lit("")), r"\|")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.canonical import map_titles_and_places
+from rollcall.llm.linkage import link_candidates
 from rollcall.llm.mixing import mix_documents, mix_report
 from rollcall.llm.packing import fill_report, pack_documents
 from rollcall.llm.persons import candidate_records, checked_records, person_records
@@ -13,6 +14,16 @@ from rollcall.llm.variants import linked_variants
 from rollcall.session import table
 
 
+def p1_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates without a sure match, with the indexed person found and the confidence."""
+    return link_candidates(table(spark, d, "candidates_csrankings"), table(spark, d, "dblp_persons"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates without a sure match, with the indexed person found."""
+    return p1_scored(spark, d).select("cand_id", "pid")
+
+
 def p4_scored(spark: SparkSession, d: str) -> DataFrame:
     """Typed titles and cities with their entry and score."""
     return map_titles_and_places(*(table(spark, d, t) for t in ("roster", "institutions_geocoded", "titles", "city_list")))
@@ -54,4 +65,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p4_found": p4_found, "p4_scored": p4_scored, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_scored": p1_scored, "p5_found": p5_found, "p4_found": p4_found, "p4_scored": p4_scored, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}

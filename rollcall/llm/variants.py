@@ -15,92 +15,103 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.persons import describe, lcs, name_match
+from rollcall.llm.persons import describe, lcs, mark_wide_places, name_match
 from rollcall.session import cut
 
 #: Shortest suffix that is indexed, and the number of records above which a suffix is overly common.
-SUFFIX, COMMON = 5, 40
+SUFFIX, COMMON = 5, 16
 
 
-def _tokens(features: DataFrame) -> DataFrame:
-    """(key, token, initials of the other tokens, places) per token of every spelling."""
-    names = features.select("key", "places", F.explode("names").alias("n"))
-    words = names.select("key", "places", F.split(F.substring_index("n", "|", 1), r"\.? ").alias("w"))
-    each = words.select("key", "places", "w", F.posexplode("w").alias("i", "token")).withColumn("token", F.rtrim(F.col("token"), F.lit(".")))
-    others = F.array_distinct(F.transform(F.filter("w", lambda x, j: j != F.col("i")), lambda x: F.substring(x, 1, 1)))
-    return each.filter(F.length("token") >= 4).select("key", "places", "token", others.alias("initials"))
+def _rows(features: DataFrame, least: int) -> DataFrame:
+    """(key, t, h, n, last, initials) per distinct token of a record and suffix: hashes of token and suffix, the
+    suffix's length, whether it is the shortest, and the initials of the tokens beside it."""
+    words = features.select("key", F.explode("names").alias("n")).select("key", F.split(F.substring_index("n", "|", 1), r"\.? ").alias("w"))
+    each = words.select("key", "w", F.posexplode("w").alias("i", "token")).withColumn("token", F.rtrim(F.col("token"), F.lit(".")))
+    others = F.transform(F.filter("w", lambda x, j: j != F.col("i")), lambda x: F.substring(x, 1, 1))
+    each = each.filter(F.length("token") >= 4).select("key", "token", others.alias("initials"))
+    each = each.groupBy("key", "token").agg(F.array_distinct(F.flatten(F.collect_list("initials"))).alias("initials"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("token") - least))
+    cut_ = each.select("key", "token", "initials", F.explode(starts).alias("at")).withColumn("s", F.substring("token", F.col("at") + 1, F.lit(200)))
+    return cut_.select("key", F.xxhash64("token").alias("t"), F.xxhash64("s").alias("h"), F.length("s").alias("n"), ((F.length("s") <= least) | (F.col("at") == F.length("token") - least)).alias("last"), "initials")
 
 
-def _levels(indexed: DataFrame, ends: Column, common: int) -> DataFrame:
-    """(key, block): per token and extra value the shortest suffix that isn't common."""
-    each = indexed.select("key", "token", "extra", F.explode(ends).alias("s"))
-    counts = each.select("key", "extra", "s").distinct().groupBy("extra", "s").agg(F.count("*").alias("seen")).filter((F.col("seen") > 1) & (F.col("seen") <= common)).select("extra", "s")
-    fit = each.join(counts, ["extra", "s"])
-    least = fit.groupBy("key", "token", "extra").agg(F.min_by("s", F.length("s")).alias("s"))
-    return least.select("key", F.concat_ws(" ", "s", "extra").alias("block")).distinct()
+def _ladder(rows: DataFrame, common: int) -> DataFrame:
+    """(key, h): per token the shortest suffix that more than one record has but not more than `common`."""
+    fit = rows.groupBy("h").agg(F.count("*").alias("seen")).filter((F.col("seen") > 1) & (F.col("seen") <= common)).select("h")
+    return rows.select("key", "t", "h", "n").join(fit, "h", "left_semi").groupBy("key", "t").agg(F.min_by("h", F.struct("n", "h")).alias("h")).select("key", "h")
 
 
 def suffix_blocks(features: DataFrame, least: int = SUFFIX, common: int = COMMON) -> DataFrame:
-    """(block, key) of records that may be one person; blocks of at most `common` records."""
-    tokens = cut(_tokens(features))
-    # Suffixes of the least length and more; a token no longer than that is its own suffix.
-    ends = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("token") - least)), lambda i: F.substring("token", i + 1, F.lit(100)))
-    plain = _levels(tokens.select("key", "token", F.lit("").alias("extra")), ends, common)
-    initial = _levels(tokens.select("key", "token", F.explode("initials").alias("extra")), ends, common)
-    placed = _levels(tokens.select("key", "token", F.explode("places").alias("extra")), ends, common)
-    ids = features.filter("orcid <> ''").select("key", F.concat(F.lit("#"), "orcid").alias("block")).unionAll(features.filter("user <> '' and host <> ''").select("key", F.concat(F.lit("~"), "user", F.lit("@"), "host").alias("block")))
-    return plain.unionAll(initial).unionAll(placed).unionAll(ids)
+    """(h, key) of records that may be one person, h the hash of what they share.
 
-
-def block_pairs(features: DataFrame, left: str = "", right: str = "") -> DataFrame:
-    """(a, b) distinct pairs of records that share a block; left and right keep pairs of those kinds only.
-
-    Identifier blocks may be as large as their identifier is frequent; name blocks are bounded.
+    A suffix that more than `common` records have is refined with an initial of another token, and with a place; what
+    is common even with a place is refined with the whole token, the place and an initial, and then kept, however
+    common. Equal identifiers and homepages block as well.
     """
-    blocks = cut(suffix_blocks(features))
-    a, b = blocks.select("block", F.col("key").alias("a")), blocks.select("block", F.col("key").alias("b"))
-    if left:
-        pairs = a.filter(F.col("a").startswith(left)).join(b.filter(F.col("b").startswith(right)), "block")
-    else:
-        pairs = a.join(b, "block").filter("a < b")
-    return pairs.select("a", "b").distinct()
-
-
-def same_names(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """(a, b, name, slip, numbered) of the pairs of which two spellings can be one name.
+    rows = cut(_rows(features, least))
+    often = rows.groupBy("h").agg(F.count("*").alias("seen")).filter(F.col("seen") > common).select("h")
+    plain = _ladder(rows, common)
+    shared = rows.join(often, "h", "left_semi")
+    initial = shared.select("key", "t", "h", "n", F.explode("initials").alias("x"))
+    initial = _ladder(initial.select("key", F.xxhash64("t", "x").alias("t"), F.xxhash64("h", "x").alias("h"), "n"), common)
+    narrow = F.filter("places", lambda w: ~w.startswith("~"))
+    placed = shared.filter("last").join(features.filter(F.size("places") > 0).select("key", F.when(F.size(narrow) > 0, narrow).otherwise(F.col("places")).alias("places")), "key").select("key", "t", "initials", "h", F.explode("places").alias("place"))
+    placed = placed.select("key", F.xxhash64("h", "place").alias("h"), F.xxhash64("t", "place").alias("hp"), "initials")
+    crowd = placed.groupBy("h").agg(F.count("*").alias("seen")).filter(F.col("seen") > 1)
+    few = placed.join(crowd.filter(F.col("seen") <= common).select("h"), "h", "left_semi").select("key", "h")
+    many = placed.join(crowd.filter(F.col("seen") > common).select("h"), "h", "left_semi").select("key", "hp", F.explode("initials").alias("x")).select("key", F.xxhash64("hp", "x").alias("h"))
+    ids = features.filter("orcid <> ''").select("key", F.xxhash64(F.lit("#"), "orcid").alias("h")).unionAll(features.filter("user <> '' and host <> ''").select("key", F.xxhash64(F.lit("~"), "user", "host").alias("h")))
+    return plain.unionAll(initial).unionAll(few).unionAll(many).unionAll(ids).distinct()
+
+
+def same_names(features: DataFrame, kinds: tuple[str, str] | None = None) -> DataFrame:
+    """(a, b, name, slip, numbered), a < b, of records that share a block and of which two spellings can be one name.
 
     name is the best score over the spellings of both, slip that it rests on a slip of the pen, numbered that both
-    carry the same homonym number.
+    carry the same homonym number. kinds keeps pairs of one record of either kind only. The members of a block come
+    in one run of sorted rows and are compared as they come; names travel once for each block of a record, not for each
+    pair.
     """
-    na, nb = (features.select(F.col("key").alias(x), F.col("names").alias(f"n{x}")) for x in "ab")
+    blocks = suffix_blocks(features).join(features.select("key", "names"), "key").select("h", "key", "names")
+    wanted = None if kinds is None else frozenset(kinds)
+
+    def pair(a: str, na, b: str, nb):
+        best, slip, numbered = 0.0, False, False
+        for x in na:
+            for y in nb:
+                s, slipped = name_match(x, y)
+                if s > 0 and (best == 0 or (not slipped, s) > (not slip, best)):
+                    best, slip = s, slipped
+                numbered = numbered or s > 0 and x.partition("|")[2] == y.partition("|")[2] != ""
+        return (a, b, best, slip, numbered) if best else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, members = None, []
         for batch in batches:
-            rows = []
-            for a, b, na, nb in batch.itertuples(index=False):
-                best, slip, numbered = 0.0, False, False
-                for x in na:
-                    for y in nb:
-                        s, slipped = name_match(x, y)
-                        if s > 0 and (best == 0 or (not slipped, s) > (not slip, best)):
-                            best, slip = s, slipped
-                        numbered = numbered or s > 0 and x.partition("|")[2] == y.partition("|")[2] != ""
-                if best:
-                    rows.append((a, b, best, slip, numbered))
-            yield pd.DataFrame(rows, columns=["a", "b", "name", "slip", "numbered"])
-
-    wide = pairs.join(na, "a").join(nb, "b").select("a", "b", "na", "nb")
-    return wide.mapInPandas(run, "a string, b string, name double, slip boolean, numbered boolean")
-
-
-def compare(pairs: DataFrame, features: DataFrame) -> DataFrame:
+            out = []
+            for h, key, names in batch.itertuples(index=False):
+                if h != now:
+                    now, members = h, []
+                for other, theirs in members:
+                    if wanted is None or {key[0], other[0]} == wanted:
+                        found = pair(other, theirs, key, names) if other < key else pair(key, names, other, theirs)
+                        if found:
+                            out.append(found)
+                members.append((key, list(names)))
+            yield pd.DataFrame(out, columns=["a", "b", "name", "slip", "numbered"])
+
+    ordered = blocks.repartition("h").sortWithinPartitions("h")
+    return ordered.mapInPandas(run, "a string, b string, name double, slip boolean, numbered boolean").dropDuplicates(["a", "b"])
+
+
+def compare(features: DataFrame, kinds: tuple[str, str] | None = None) -> DataFrame:
     """same_names with what the records show besides: same_id, same_home, shared and apart.
 
     Identifiers compare as equal (1), nearly equal (0.7: an exchange or two wrong signs), different (-1) or unknown
-    (0), homepages alike; shared counts equal or nearly equal place words, apart tells that both have places and share
-    none.
+    (0), homepages alike; shared counts equal or nearly equal place words, wide those of towns, apart tells how far both
+    have places and share none.
     """
-    named = cut(same_names(pairs, features))
+    named = cut(same_names(features, kinds))
     cols = ["places", "orcid", "host", "user"]
     fa, fb = (features.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]) for x in "ab")
 
@@ -114,30 +125,41 @@ def compare(pairs: DataFrame, features: DataFrame) -> DataFrame:
                 same_home = 0.0
                 if ua and ub:
                     same_home = 1.0 if (ha, ua) == (hb, ub) else -1.0 if ha != hb else -0.5
-                shared = places_shared(pa, pb)
-                rows.append((a, b, name, slip, numbered, same_id, same_home, shared, bool(len(pa) and len(pb) and not shared)))
-            yield pd.DataFrame(rows, columns=["a", "b", "name", "slip", "numbered", "same_id", "same_home", "shared", "apart"])
+                narrow, wide = places_shared(pa, pb)
+                apart = 0.0
+                if len(pa) and len(pb) and not narrow:
+                    both = any(w[0] != "~" for w in pa) and any(w[0] != "~" for w in pb)
+                    apart = 1.0 if not wide else 0.4 if both else 0.0
+                rows.append((a, b, name, slip, numbered, same_id, same_home, narrow, wide, apart))
+            yield pd.DataFrame(rows, columns=["a", "b", "name", "slip", "numbered", "same_id", "same_home", "shared", "wide", "apart"])
 
     order = ["a", "b", "name", "slip", "numbered", *[f"{c}_a" for c in cols], *[f"{c}_b" for c in cols]]
     wide = named.join(fa, "a").join(fb, "b").select(*order)
-    return wide.mapInPandas(run, "a string, b string, name double, slip boolean, numbered boolean, same_id double, same_home double, shared int, apart boolean")
+    return wide.mapInPandas(run, "a string, b string, name double, slip boolean, numbered boolean, same_id double, same_home double, shared int, wide int, apart double")
 
 
-def places_shared(a: list[str], b: list[str]) -> int:
-    """Number of words of a with an equal or nearly equal word in b."""
+def places_shared(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Numbers of narrow and of wide (marked ~) words of a with an equal or nearly equal word in b."""
     other = set(b)
-    n = 0
+    narrow = wide = 0
     for w in a:
-        if w in other:
-            n += 1
-        elif any(abs(len(w) - len(v)) <= 1 and len(w) >= 6 and len(w) + len(v) - 2 * lcs(w, v) <= 2 for v in b):
-            n += 1
-    return n
+        if w in other or len(w) >= 6 and any(abs(len(w) - len(v)) <= 1 and len(w) + len(v) - 2 * lcs(w, v) <= 2 for v in b):
+            if w.startswith("~"):
+                wide += 1
+            else:
+                narrow += 1
+    return narrow, wide
+
+
+def place_points() -> Column:
+    """Points for shared places: a narrow word counts most, a wide one alone little."""
+    both = F.col("shared") + F.col("wide")
+    return F.when((F.col("shared") >= 1) & (both >= 2), 2.0).when(F.col("shared") == 1, 1.5).when(F.col("wide") >= 1, 0.7).otherwise(0.0)
 
 
 def evidence() -> Column:
     """What a compared pair shows for one person, in points."""
-    shared = F.when(F.col("shared") >= 2, 2.0).when(F.col("shared") == 1, 1.5).when(F.col("apart"), -1.5).otherwise(0.0)
+    shared = place_points() - 1.5 * F.col("apart")
     ids = F.when(F.col("same_id") == 1, 4.0).when(F.col("same_id") > 0, 2.5).when(F.col("same_id") < 0, -4.0).otherwise(0.0)
     home = F.when(F.col("same_home") == 1, 2.5).when(F.col("same_home") < 0, -0.5).otherwise(0.0)
     name = F.when(F.col("slip"), 0.0).otherwise(1.0) + 2 * (F.col("name") - 0.8)
@@ -165,7 +187,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 #: Least points at which a record joins an indexed person, two indexed records join, and two other records join; and
 #: the margin by which the best person must lead the next.
-JOIN_PERSON, JOIN_INDEX, JOIN_OTHERS, MARGIN = 0.9, 3.0, 2.0, 0.4
+JOIN_PERSON, JOIN_INDEX, JOIN_OTHERS, MARGIN = 0.9, 3.0, 1.6, 0.4
 
 
 def person_edges(scored: DataFrame) -> DataFrame:
@@ -184,11 +206,19 @@ def person_edges(scored: DataFrame) -> DataFrame:
     top = by.groupBy("r").agg(F.max_by(F.struct("key", "person", "pts"), F.struct("pts", "person")).alias("m"), F.sort_array(F.collect_list("pts"), False).alias("all"))
     second = F.coalesce(F.get("all", F.lit(1)), F.lit(-9.0))
     joined = top.filter((F.col("m.pts") >= JOIN_PERSON) & (F.col("m.pts") - second >= MARGIN)).select("r", "m.key", "m.person")
-    others = scored.filter("ka <> 'd' and kb <> 'd'").filter((F.col("pts") >= JOIN_OTHERS) & (F.col("same_id") >= 0)).select("a", "b")
-    # Two records that joined different persons stay apart, whatever links them.
-    pa, pb = joined.select(F.col("r").alias("a"), F.col("person").alias("person_a")), joined.select(F.col("r").alias("b"), F.col("person").alias("person_b"))
-    others = others.join(pa, "a", "left").join(pb, "b", "left").filter("person_a is null or person_b is null or person_a = person_b").select("a", "b")
-    return index.unionAll(joined.select(F.col("r").alias("a"), F.col("key").alias("b"))).unionAll(others)
+    # A record that joined no person goes with the one person to whose records its links are strongest, so that no
+    # chain of records ties two persons together; records that touch no person join each other.
+    person = joined.select("r", "person", "key")
+    links = cut(scored.filter("ka <> 'd' and kb <> 'd'").filter((F.col("pts") >= JOIN_OTHERS) & (F.col("same_id") >= 0)).select("a", "b", "pts"))
+    for _ in range(2):
+        pa, pb = (person.select(F.col("r").alias(x), F.col("key").alias(f"key_{x}"), F.col("person").alias(f"person_{x}")) for x in "ab")
+        known = links.join(pa, "a", "left").join(pb, "b", "left")
+        half = known.filter("person_a is null").select(F.col("a").alias("r"), F.col("person_b").alias("person"), F.col("key_b").alias("key"), "pts").unionAll(known.filter("person_b is null").select(F.col("b").alias("r"), F.col("person_a").alias("person"), F.col("key_a").alias("key"), "pts"))
+        later = half.filter("person is not null").groupBy("r").agg(F.max_by(F.struct("person", "key"), F.struct("pts", "person", "key")).alias("m")).select("r", "m.person", "m.key")
+        person = cut(person.unionAll(later))
+    one = person.select("r")
+    loose = links.join(one.withColumnRenamed("r", "a"), "a", "left_anti").join(one.withColumnRenamed("r", "b"), "b", "left_anti").select("a", "b")
+    return index.unionAll(person.select(F.col("r").alias("a"), F.col("key").alias("b"))).unionAll(loose)
 
 
 def linked_variants(records: DataFrame) -> DataFrame:
@@ -197,8 +227,8 @@ def linked_variants(records: DataFrame) -> DataFrame:
     records as for `describe`. Records without a usable name are linked to none. Pairs of one person within one table
     count too. Groups of records with one spelling give no pair among themselves.
     """
-    features = cut(describe(records).filter(F.size("names") > 0))
-    scored = cut(compare(block_pairs(features), features).withColumn("pts", evidence()))
+    features = cut(mark_wide_places(cut(describe(records).filter(F.size("names") > 0))))
+    scored = cut(compare(features).withColumn("pts", evidence()))
     person = components(cut(person_edges(scored)))
     own = person.join(features.select("key", "spellings"), "key")
     a, b = own.select("root", F.col("key").alias("key_a"), F.col("spellings").alias("sa")), own.select("root", F.col("key").alias("key_b"), F.col("spellings").alias("sb"))
