@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from rollcall.plans import problem_sql, problems
+from rollcall.plans import geo, identity, problem_sql, problems, relational, scalars
+
+_PARTS = (scalars, relational, identity, geo)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    out = {}
+    for part in _PARTS:
+        out |= part.R.queries
+    return out | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problem_sql.SQL)
+    out = {}
+    for part in _PARTS:
+        out |= part.R.sql
+    return out | problem_sql.SQL
