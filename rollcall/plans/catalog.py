@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rollcall.plans import geo, identity, problem_sql, problems, relational, scalars
+from rollcall.plans import geo, identity, picks, problem_sql, problems, relational, scalars, sources
 
-_PARTS = (scalars, relational, identity, geo)
+_PARTS = (scalars, relational, identity, geo, picks, sources)
 
 
 def queries() -> dict:
