@@ -182,9 +182,14 @@ def name_match(a: str, b: str) -> tuple[float, bool]:
     return total / len(x) - 0.02 * len(free), bool(slip)
 
 
+_ORCID = re.compile(r"(?<!\d)(\d{4})[^0-9A-Za-z]{0,3}(\d{4})[^0-9A-Za-z]{0,3}(\d{4})[^0-9A-Za-z]{0,3}(\d{3}[0-9Xx])(?!\d)")
+
+
 def clean_orcid(text: str | None) -> str:
-    s = re.sub(r"[^0-9X]", "", (text or "").upper())
-    return s if len(s) == 16 and len(set(s)) > 2 else ""
+    """The sixteen signs of an identifier, however they are parted; '' for placeholders and other texts."""
+    m = _ORCID.search(text or "")
+    s = "".join(m.groups()).upper() if m else ""
+    return s if len(set(s)) > 2 else ""
 
 
 def homepage_key(text: str | None) -> tuple[str, str]:
