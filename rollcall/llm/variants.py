@@ -221,6 +221,26 @@ def person_edges(scored: DataFrame) -> DataFrame:
     return index.unionAll(person.select(F.col("r").alias("a"), F.col("key").alias("b"))).unionAll(loose)
 
 
+def collapse(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features of one record for each group of copies, members (key, rep, solid)).
+
+    Copies show the same in everything but their spelling's outer form; they are compared once, so that a group of
+    copies, however large, costs one record. Indexed records are never copies. solid tells that copies of that kind are
+    one person even if nothing else links them: they show more than a name.
+    """
+    shown = ["kind", "names", "places", "orcid", "host", "user"]
+    loose = features.filter("kind <> 'd'")
+    reps = loose.groupBy(*shown).agg(F.min("key").alias("rep"))
+    same = F.lit(True)
+    a, b = loose.alias("x"), reps.alias("y")
+    for c in shown:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    solid = (F.size("x.places") > 0) | (F.col("x.orcid") != "") | (F.col("x.user") != "")
+    members = a.join(b, same).select(F.col("x.key").alias("key"), F.col("y.rep").alias("rep"), solid.alias("solid"))
+    members = cut(members.unionAll(features.filter("kind = 'd'").select("key", F.col("key").alias("rep"), F.lit(True).alias("solid"))))
+    return cut(features.join(members.filter("key = rep").select("key"), "key", "left_semi")), members
+
+
 def linked_variants(records: DataFrame) -> DataFrame:
     """(key_a, key_b), key_a < key_b: records of one person that share no exactly equal spelling.
 
@@ -228,8 +248,13 @@ def linked_variants(records: DataFrame) -> DataFrame:
     count too. Groups of records with one spelling give no pair among themselves.
     """
     features = cut(mark_wide_places(cut(describe(records).filter(F.size("names") > 0))))
-    scored = cut(compare(features).withColumn("pts", evidence()))
+    alone, members = collapse(features)
+    scored = cut(compare(alone).withColumn("pts", evidence()))
     person = components(cut(person_edges(scored)))
-    own = person.join(features.select("key", "spellings"), "key")
+    indexed = person.filter(F.col("key").startswith("d")).select("root", F.lit(True).alias("indexed")).distinct()
+    person = person.join(indexed, "root", "left").select(F.col("key").alias("rep"), "root", "indexed")
+    placed = members.join(person, "rep", "left")
+    root = F.when((F.col("key") == F.col("rep")) | F.col("indexed"), F.coalesce("root", "rep")).when(F.col("solid"), F.coalesce("root", "rep"))
+    own = placed.select("key", root.alias("root")).filter("root is not null").join(features.select("key", "spellings"), "key")
     a, b = own.select("root", F.col("key").alias("key_a"), F.col("spellings").alias("sa")), own.select("root", F.col("key").alias("key_b"), F.col("spellings").alias("sb"))
     return a.join(b, "root").filter((F.col("key_a") < F.col("key_b")) & ~F.arrays_overlap("sa", "sb")).select("key_a", "key_b")
