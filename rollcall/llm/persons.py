@@ -35,7 +35,7 @@ benjamin ben|edward ted ned ed eddie|elizabeth beth liz lisa betty|alexandra ale
 """
 _GENERIC = """university universitat universitaet universite universita universidad college academy academie institute institut instituto centre center department dept faculty school research group campus
 for of the and de des du la le van der den von upon learning systems visual computing computation speech processing machine perception autonomous robotics neural cognitive decision sciences statistical language
-technology science main site univ inst acad coll cntr austria belgium switzerland czechia denmark germany spain finland france greece italy netherlands norway poland sweden united kingdom people staff example"""
+technology science main site univ inst acad coll cntr austria belgium switzerland czechia denmark germany spain finland france greece italy netherlands norway poland sweden united kingdom people staff example http https"""
 GENERIC = frozenset(_GENERIC.split())
 
 _SHORT: dict[str, set[str]] = {}
@@ -232,14 +232,21 @@ def describe(records: DataFrame) -> DataFrame:
     return records.mapInPandas(run, FEATURES)
 
 
-def mark_wide_places(features: DataFrame, share: float = 0.001, least: int = 30) -> DataFrame:
-    """Features with ~ before place words that more than `share` of the records, and more than `least`, have.
+def mark_wide_places(features: DataFrame, towns: DataFrame | None = None, share: float = 0.001, least: int = 30, most_towns: int = 50_000) -> DataFrame:
+    """Features with ~ before place words that name a town rather than an institution.
 
-    Such words name a town rather than an institution. There are at most 1 / share times the mean number of words of a
-    record, whatever the number of records, so their list is small enough to send along.
+    towns (name) lists the names of towns; at most most_towns of them are sent along, a longer list is an error.
+    Without a list the words count that more than `share` of the records, and more than `least`, have: there are at
+    most 1 / share times the mean number of words of a record, whatever the number of records.
     """
-    most = max(least, int(features.count() * share))
-    wide = [r["w"] for r in features.select(F.explode("places").alias("w")).groupBy("w").count().filter(F.col("count") > most).select("w").collect()]
+    if towns is not None:
+        names = [r[0] for r in towns.select("name").filter("name <> ''").distinct().limit(most_towns + 1).collect()]
+        if len(names) > most_towns:
+            raise ValueError(f"more than {most_towns} towns")
+        wide = place_words(names)
+    else:
+        most = max(least, int(features.count() * share))
+        wide = [r["w"] for r in features.select(F.explode("places").alias("w")).groupBy("w").count().filter(F.col("count") > most).select("w").collect()]
     if not wide:
         return features
     listed = features.sparkSession.sparkContext.broadcast(frozenset(wide))
@@ -271,6 +278,11 @@ def person_records(persons: DataFrame) -> DataFrame:
     )
 
 
+def town_names(cities: DataFrame) -> DataFrame:
+    """(name) of the cities of a list, their other names included."""
+    return cities.select(F.explode(F.concat(F.array("city"), _pipe("alt_names"))).alias("name")).filter("name <> ''")
+
+
 def checked_records(checked: DataFrame, institutions: DataFrame) -> DataFrame:
     """Raw records of the checked rosters that carry a dblp_name; key is k and check_id. The institution is looked up."""
     home = institutions.filter("inst_id is not null").select("inst_id", F.array("name", "homepage").alias("affiliations")).dropDuplicates(["inst_id"])

@@ -8,7 +8,7 @@ from rollcall.llm.canonical import map_titles_and_places
 from rollcall.llm.linkage import link_candidates
 from rollcall.llm.mixing import mix_documents, mix_report
 from rollcall.llm.packing import fill_report, pack_documents
-from rollcall.llm.persons import candidate_records, checked_records, person_records
+from rollcall.llm.persons import candidate_records, checked_records, person_records, town_names
 from rollcall.llm.sentences import split_sentences
 from rollcall.llm.variants import linked_variants
 from rollcall.session import table
@@ -16,7 +16,7 @@ from rollcall.session import table
 
 def p1_scored(spark: SparkSession, d: str) -> DataFrame:
     """Candidates without a sure match, with the indexed person found and the confidence."""
-    return link_candidates(table(spark, d, "candidates_csrankings"), table(spark, d, "dblp_persons"))
+    return link_candidates(table(spark, d, "candidates_csrankings"), table(spark, d, "dblp_persons"), town_names(table(spark, d, "city_list")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of one person under different spellings."""
     people, index, checked, places = (table(spark, d, t) for t in ("candidates_csrankings", "dblp_persons", "roster_checked", "institutions_geocoded"))
-    return linked_variants(candidate_records(people).unionByName(person_records(index)).unionByName(checked_records(checked, places)))
+    return linked_variants(candidate_records(people).unionByName(person_records(index)).unionByName(checked_records(checked, places)), town_names(table(spark, d, "city_list")))
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:

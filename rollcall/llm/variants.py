@@ -241,13 +241,13 @@ def collapse(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(features.join(members.filter("key = rep").select("key"), "key", "left_semi")), members
 
 
-def linked_variants(records: DataFrame) -> DataFrame:
+def linked_variants(records: DataFrame, towns: DataFrame | None = None) -> DataFrame:
     """(key_a, key_b), key_a < key_b: records of one person that share no exactly equal spelling.
 
-    records as for `describe`. Records without a usable name are linked to none. Pairs of one person within one table
+    records as for `describe`, towns as for `mark_wide_places`. Records without a usable name are linked to none. Pairs of one person within one table
     count too. Groups of records with one spelling give no pair among themselves.
     """
-    features = cut(mark_wide_places(cut(describe(records).filter(F.size("names") > 0))))
+    features = cut(mark_wide_places(cut(describe(records).filter(F.size("names") > 0)), towns))
     alone, members = collapse(features)
     scored = cut(compare(alone).withColumn("pts", evidence()))
     person = components(cut(person_edges(scored)))
