@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,3 +38,76 @@ def agrees(wanted: str, found: str, city: str, least: float = 0.65) -> bool:
 def name_agrees(wanted: pd.Series, found: pd.Series, city: pd.Series) -> pd.Series:
     """`agrees` on columns of folded names; null counts as ''."""
     return pd.Series([agrees(x or "", y or "", z or "") for x, y, z in zip(wanted, found, city, strict=True)])
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        u = row & masks.get(c, 0)
+        row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each letter stands in each text; signs that share a bin only raise what two texts can have in common."""
+    out = np.zeros((len(texts), 64), dtype=np.int16)
+    for i, t in enumerate(texts):
+        for c in t:
+            out[i, ord(c) % 64] += 1
+    return out
+
+
+def best_partners(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """(id, c, d, s, k): for each row of left the best row of right that shares a word with it, if any.
+
+    left has id, text, country, host and words, right key, text, country, host and words. Equal country comes first (c:
+    1 equal, 0 other, -1 unknown), then a host that ends with the other's (d), then the Ratcliff-Obershelp similarity
+    (s), then the least key (k). What matches is a common subsequence of a common multiset of letters, so neither
+    length falls below it: rows that can't reach the best by these are not compared, and no result changes.
+    """
+    texts, keys, countries = right["text"].tolist(), right["key"].to_numpy(dtype=np.int64), right["country"].tolist()
+    by_word, by_host = defaultdict(list), defaultdict(list)
+    for i, (words, host) in enumerate(zip(right["words"], right["host"], strict=True)):
+        for w in words:
+            by_word[w].append(i)
+        if host:
+            by_host[host].append(i)
+    by_word = {w: np.array(x) for w, x in by_word.items()}
+    letters, lengths = _letters(texts), np.array([len(t) for t in texts])
+    known = np.array([bool(pd.notna(x)) for x in countries])
+    of = np.array([x if k else "" for x, k in zip(countries, known, strict=True)], dtype=object)
+    matchers: dict[int, difflib.SequenceMatcher] = {}
+    out = []
+    for id_, text, country, host, words in left[["id", "text", "country", "host", "words"]].itertuples(index=False):
+        met = [by_word[w] for w in words if w in by_word]
+        if not met:
+            continue
+        at = np.unique(np.concatenate(met))
+        c = np.where(known[at], (of[at] == country).astype(int), -1) if pd.notna(country) else np.full(len(at), -1)
+        at, c = at[c == c.max()], int(c.max())
+        ends = [i for j in range(len(host)) for i in by_host.get(host[j:], ())] if isinstance(host, str) else []
+        same = at[np.isin(at, ends)]
+        d = len(same) > 0
+        at = same if d else at
+        most = np.minimum(letters[at], _letters([text])[0]).sum(axis=1)
+        most = 2.0 * most / np.maximum(1, lengths[at] + len(text))
+        s, k = -1.0, 0
+        for j in np.lexsort((keys[at], -most)):
+            i = int(at[j])
+            key, total = int(keys[i]), len(text) + len(texts[i])
+            if most[j] < s:
+                break
+            if (most[j], -key) < (s, -k) or (2.0 * common_length(text, texts[i]) / total, -key) < (s, -k):
+                continue
+            m = matchers.get(i)
+            if m is None:
+                m = matchers[i] = difflib.SequenceMatcher(None, "", texts[i])
+            m.set_seq1(text)
+            s, k = max((s, k), (m.ratio(), key), key=lambda x: (x[0], -x[1]))
+        out.append((id_, c, int(d), s, k))
+    return pd.DataFrame(out, columns=["id", "c", "d", "s", "k"])

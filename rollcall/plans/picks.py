@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import names as N
 from rollcall.functions.geo import haversine
-from rollcall.functions.text_udfs import name_agrees, sequence_ratio
+from rollcall.functions.text_udfs import best_partners, name_agrees
 from rollcall.plans.registry import Registry
 from rollcall.plans.relational import title_rules
 from rollcall.plans.scalars import _sql_plain
-from rollcall.session import table
+from rollcall.session import cut, table
 
 R = Registry()
 query = R.query
@@ -43,26 +43,50 @@ def unruled_titles(spark: SparkSession, d: str) -> DataFrame:
     return v.join(tried, ["title", "country"], "left_anti").groupBy("title").agg(F.sum("k").alias("n"))
 
 
+def _blocks(left: DataFrame, right: DataFrame, by: str | None, most_left: int = 1_000, most_right: int = 8_000) -> DataFrame:
+    """best_partners of left among the rows of right that are equal in `by`, or among all; in blocks of bounded size that
+    meet each other completely, so that no country or word is too large for one task."""
+    left, right = (df.withColumn("by", F.col(by) if by else F.lit("")).filter("by is not null") for df in (left, right))
+    parts = lambda df, name, most: df.groupBy("by").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))
+    both = parts(left, "nl", most_left).join(parts(right, "nr", most_right), "by")
+    one = left.join(both, "by").withColumn("l", F.pmod(F.xxhash64("id"), "nl").cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
+    two = right.join(both, "by").withColumn("r", F.pmod(F.xxhash64("key"), "nr").cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
+    block = ["by", "l", "r"]
+    grouped = one.select(*block, "id", "text", "country", "host", "words").groupBy(*block).cogroup(two.select(*block, "key", "text", "country", "host", "words").groupBy(*block))
+    found = grouped.applyInPandas(best_partners, "id long, c int, d int, s double, k long")
+    return found.groupBy("id").agg(F.max(F.struct("c", "d", "s", (-F.col("k")).alias("k"))).alias("o"))
+
+
+def pick_institutions(c: DataFrame, i: DataFrame) -> DataFrame:
+    """institution_pick of candidates (cand_id, affiliation, country, homepage) and institutions (inst_key, name, country, homepage)."""
+    place = lambda df, text: df.select("*", N.fold_plain(F.col(text)).alias("text"), N.host(F.col("homepage")).alias("host"))
+    c = place(c.filter("affiliation is not null").withColumn("country", F.lower(F.trim("country"))), "affiliation")
+    i = place(i.filter("inst_key is not null").withColumn("country", F.lower("country")), "name")
+    shown = ["text", "country", "host"]
+    c = c.select("cand_id", *shown)
+    named = lambda df: df.withColumn("words", N.distinctive_tokens(F.col("text"))).filter(F.size("words") > 0)
+    asked = cut(named(c.groupBy(*shown).agg(F.min("cand_id").alias("id"))))
+    known = cut(named(i.groupBy(*shown).agg(F.min("inst_key").alias("key"))))
+    # Who meets an institution of the own country needs no other.
+    home = cut(_blocks(asked, known, "country"))
+    best = home.unionAll(_blocks(asked.join(home, "id", "left_anti"), known, None))
+    a, b = c.alias("a"), asked.join(best, "id").select(*shown, "o").alias("b")
+    same = F.col("a.text") == F.col("b.text")
+    for x in ("country", "host"):
+        same = same & F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}"))
+    status = F.when((F.col("o.c") == 1) & ((F.col("o.s") >= 0.75) | (F.col("o.d") == 1)), "auto").otherwise("needs_review")
+    return a.join(b, same, "left").select("cand_id", (-F.col("o.k")).alias("inst_key"), F.round("o.s", 6).alias("similarity"), F.when(F.col("o").isNull(), "no_match").otherwise(status).alias("status"))
+
+
 @query()
 def institution_pick(spark: SparkSession, d: str) -> DataFrame:
     """The best institution for each affiliation of a candidate: country, then domain, then similarity, then key.
 
-    Institutions are met on their identifying words, so that similarity is computed for plausible pairs only; auto when
-    the country fits and the name is similar or the domain fits. No SQL equivalent for the similarity.
+    Candidates are all institutions that share an identifying word, however common; similarity is computed where the
+    other marks are equal and the letters allow a better one. auto when the country fits and the name is similar or the
+    domain fits. No SQL equivalent for the similarity.
     """
-    i = table(spark, d, "institutions_geocoded").select("inst_key", F.col("name").alias("iname"), F.lower("country").alias("icountry"), N.host(F.col("homepage")).alias("ihost"))
-    c = table(spark, d, "candidates_csrankings").filter("affiliation is not null").select("cand_id", "affiliation", F.lower(F.trim("country")).alias("country"), N.host(F.col("homepage")).alias("host"))
-    words = lambda df, key, name: df.select(key, F.explode(N.distinctive_tokens(F.col(name))).alias("w"))
-    seen = words(i, "inst_key", "iname")
-    # Words that very many institutions share identify none of them.
-    rare = seen.groupBy("w").agg(F.count("*").alias("n")).filter("n <= 50").select("w")
-    near = words(c, "cand_id", "affiliation").join(seen.join(rare, "w"), "w").select("cand_id", "inst_key").distinct()
-    pairs = near.join(c, "cand_id").join(i, "inst_key").withColumn("similarity", sequence_ratio(N.fold_plain(F.col("affiliation")), N.fold_plain(F.col("iname"))))
-    domain = F.coalesce(F.col("host").endswith(F.col("ihost")), F.lit(False))
-    order = F.struct((F.col("country") == F.col("icountry")).alias("c"), domain.alias("d"), F.col("similarity").alias("s"), (-F.col("inst_key")).alias("k"))
-    best = pairs.withColumn("o", order).groupBy("cand_id").agg(F.max(F.col("o")).alias("o"))
-    status = F.when(F.col("o.c") & ((F.col("o.s") >= 0.75) | F.col("o.d")), "auto").otherwise("needs_review")
-    return c.select("cand_id").join(best, "cand_id", "left").select("cand_id", (-F.col("o.k")).alias("inst_key"), F.round("o.s", 6).alias("similarity"), F.when(F.col("o").isNull(), "no_match").otherwise(status).alias("status"))
+    return pick_institutions(table(spark, d, "candidates_csrankings").select("cand_id", "affiliation", "country", "homepage"), table(spark, d, "institutions_geocoded").select("inst_key", "name", "country", "homepage"))
 
 
 @query()
