@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +51,24 @@ def sink_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, path, columns).select(F.col("roster_id").cast("long").alias("roster_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in columns[1:]])
 
 
+def shards_back(spark: SparkSession, candidates: DataFrame, shards: list[str]) -> DataFrame:
+    """(shard, cand_id) of candidates (cand_id, name), all written by initial, from the shards asked for."""
+    root, first = files.scratch(spark, "shards"), F.lower(F.substring("name", 1, 1))
+    shard = F.when(first.isin(list(ascii_lowercase)), first).otherwise("other")
+    files.write_shards(candidates.select(F.col("cand_id").cast("string").alias("cand_id"), shard.alias("initial")), root, F.col("initial"))
+    return files.read_shards(spark, root, shards, ["cand_id", "initial"]).select("shard", F.col("cand_id").cast("long").alias("cand_id"))
+
+
 @query("SELECT lower(left(name, 1)) AS shard, cand_id FROM candidates_csrankings WHERE lower(left(name, 1)) BETWEEN 'a' AND 'k'")
 def scan_sharded(spark: SparkSession, d: str) -> DataFrame:
-    """Shards by letter, of which some are missing."""
-    root, letters = files.scratch(spark, "shards"), list("abcdefghijk")
-    c = table(spark, d, "candidates_csrankings").select("cand_id", F.substring(F.lower("name"), 1, 1).alias("letter")).filter(F.col("letter").isin(letters))
-    c.select(F.col("cand_id").cast("string").alias("cand_id"), F.concat("letter", F.lit(".csv")).alias("folder")).write.partitionBy("folder").option("header", True).csv(root)
-    shard = F.regexp_extract("_metadata.file_path", r"/folder=([a-z])\.csv/", 1)
-    df = spark.read.schema(files.text_schema(["cand_id"])).option("header", True).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).csv(root)
-    return df.select(shard.alias("shard"), F.col("cand_id").cast("long").alias("cand_id"))
+    """The shards of the letters its SQL names, of which some are missing; scan_sharded_all reads every one."""
+    return shards_back(spark, table(spark, d, "candidates_csrankings"), list("abcdefghijk"))
+
+
+@query("SELECT CASE WHEN lower(left(name, 1)) BETWEEN 'a' AND 'z' THEN lower(left(name, 1)) ELSE 'other' END AS shard, cand_id FROM candidates_csrankings")
+def scan_sharded_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shards by letter and one of other, blank and missing initials; only those are missing that no name begins with."""
+    return shards_back(spark, table(spark, d, "candidates_csrankings"), [*ascii_lowercase, "other"])
 
 
 @query("SELECT run, inst_id, check_id, coalesce(site, '') AS site FROM roster_checked")

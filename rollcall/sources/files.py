@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +43,16 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], str
     return r.csv(path)
 
 
+def write_shards(df: DataFrame, root: str, shard: Column) -> None:
+    """Folders of delimited files under root, one for each value of shard that df has; the values must be plain words."""
+    df.withColumn("shard", F.concat(shard, F.lit(".csv"))).write.partitionBy("shard").option("header", True).option("escape", '"').csv(root)
+
+
 def read_shards(spark: SparkSession, root: str, shards: list[str], columns: list[str]) -> DataFrame:
-    """The files root/<shard>.csv that exist, with `shard` from their path; a missing one is passed over."""
-    df = spark.read.schema(text_schema(columns)).option("header", True).option("escape", '"').option("ignoreMissingFiles", True).csv(f"{root}/*.csv")
-    shard = F.regexp_extract("_metadata.file_path", r"/([^/]+)\.csv(?:/[^/]*)?$", 1)
+    """The files root/<shard>.csv that exist, or folders of that name as write_shards leaves them, with `shard` from
+    their path; a missing one is passed over."""
+    df = spark.read.schema(text_schema(columns)).option("header", True).option("escape", '"').option("ignoreMissingFiles", True).option("recursiveFileLookup", True).csv(root)
+    shard = F.regexp_extract("_metadata.file_path", r"/(?:shard=)?([^/]+)\.csv(?:/[^/]*)?$", 1)
     return df.withColumn("shard", shard).filter(F.col("shard").isin(shards))
 
 
