@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.persons import describe, lcs, mark_wide_places, name_match
+from rollcall.llm.persons import _SHORT, describe, lcs, mark_wide_places, name_match
 from rollcall.session import cut
 
 #: Shortest suffix that is indexed, and the number of records above which a suffix is overly common.
@@ -41,12 +41,36 @@ def _ladder(rows: DataFrame, common: int) -> DataFrame:
     return rows.select("key", "t", "h", "n").join(fit, "h", "left_semi").groupBy("key", "t").agg(F.min_by("h", F.struct("n", "h")).alias("h")).select("key", "h")
 
 
+def whole_blocks(features: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, h, ask) of records with a token whose hash t is in hot: by that token with each other token or a full form
+    of it, and by that token with the initial of another, where records ask that have no more than the initial.
+
+    Kept however common and without regard to places, as one side may show none. rn counts as m, as in token_match.
+    """
+    even = lambda c: F.replace(F.col(c), F.lit("rn"), F.lit("m"))
+    words = features.select("key", F.explode("names").alias("n")).select("key", F.split(F.substring_index("n", "|", 1), " ").alias("w"))
+    each = words.select("key", "w", F.posexplode("w").alias("i", "token")).withColumn("token", F.rtrim(F.col("token"), F.lit("."))).filter(F.length("token") >= 4)
+    each = each.withColumn("t", F.xxhash64("token")).join(hot, "t", "left_semi")
+    others = F.when(F.size("w") == 1, F.array(F.lit(""))).otherwise(F.filter("w", lambda x, j: j != F.col("i")))
+    each = each.select("key", even("token").alias("token"), F.explode(others).alias("u")).withColumn("bare", F.rtrim(F.col("u"), F.lit("."))).distinct()
+    short = features.sparkSession.createDataFrame([(x, y) for x, full in _SHORT.items() for y in full], "bare string, full string")
+    full = each.join(F.broadcast(short), "bare").select("key", "token", F.col("full").alias("bare"))
+    pairs = each.filter("length(bare) <> 1").select("key", "token", "bare").unionAll(full).withColumn("bare", even("bare"))
+    pairs = pairs.select(F.xxhash64(F.lit("="), F.least("token", "bare"), F.greatest("token", "bare")).alias("h"), "key").distinct().withColumn("ask", F.lit(True))
+    initials = each.filter("bare <> ''").select(F.xxhash64(F.lit("^"), "token", F.substring("bare", 1, 1)).alias("h"), "key", ((F.length("bare") == 1) | F.col("u").endswith(".")).alias("ask"))
+    every = pairs.unionAll(initials.groupBy("h", "key").agg(F.max("ask").alias("ask")))
+    met = every.groupBy("h").agg(F.count("*").alias("seen"), F.max("ask").alias("any")).filter("seen > 1 and any").select("h")
+    return every.join(met, "h", "left_semi").select("key", "h", "ask")
+
+
 def suffix_blocks(features: DataFrame, least: int = SUFFIX, common: int = COMMON) -> DataFrame:
-    """(h, key) of records that may be one person, h the hash of what they share.
+    """(h, key, ask) of records that may be one person, h the hash of what they share; a pair of a block counts if either
+    asks.
 
     A suffix that more than `common` records have is refined with an initial of another token, and with a place; what
     is common even with a place is refined with the whole token, the place and an initial, and then kept, however
-    common. Equal identifiers and homepages block as well.
+    common. Whole tokens that common also block with each other token, as in `whole_blocks`, wherever the places.
+    Equal identifiers and homepages block as well.
     """
     rows = cut(_rows(features, least))
     often = rows.groupBy("h").agg(F.count("*").alias("seen")).filter(F.col("seen") > common).select("h")
@@ -61,7 +85,8 @@ def suffix_blocks(features: DataFrame, least: int = SUFFIX, common: int = COMMON
     few = placed.join(crowd.filter(F.col("seen") <= common).select("h"), "h", "left_semi").select("key", "h")
     many = placed.join(crowd.filter(F.col("seen") > common).select("h"), "h", "left_semi").select("key", "hp", F.explode("initials").alias("x")).select("key", F.xxhash64("hp", "x").alias("h"))
     ids = features.filter("orcid <> ''").select("key", F.xxhash64(F.lit("#"), "orcid").alias("h")).unionAll(features.filter("user <> '' and host <> ''").select("key", F.xxhash64(F.lit("~"), "user", "host").alias("h")))
-    return plain.unionAll(initial).unionAll(few).unionAll(many).unionAll(ids).distinct()
+    hot = rows.filter("h = t").select("t").distinct().join(often.withColumnRenamed("h", "t"), "t", "left_semi")
+    return plain.unionAll(initial).unionAll(few).unionAll(many).unionAll(ids).distinct().withColumn("ask", F.lit(True)).unionAll(whole_blocks(features, hot))
 
 
 def same_names(features: DataFrame, kinds: tuple[str, str] | None = None) -> DataFrame:
@@ -72,7 +97,7 @@ def same_names(features: DataFrame, kinds: tuple[str, str] | None = None) -> Dat
     in one run of sorted rows and are compared as they come; names travel once for each block of a record, not for each
     pair.
     """
-    blocks = suffix_blocks(features).join(features.select("key", "names"), "key").select("h", "key", "names")
+    blocks = suffix_blocks(features).join(features.select("key", "names"), "key").select("h", "key", "names", "ask")
     wanted = None if kinds is None else frozenset(kinds)
 
     def pair(a: str, na, b: str, nb):
@@ -89,15 +114,15 @@ def same_names(features: DataFrame, kinds: tuple[str, str] | None = None) -> Dat
         now, members = None, []
         for batch in batches:
             out = []
-            for h, key, names in batch.itertuples(index=False):
+            for h, key, names, ask in batch.itertuples(index=False):
                 if h != now:
                     now, members = h, []
-                for other, theirs in members:
-                    if wanted is None or {key[0], other[0]} == wanted:
+                for other, theirs, asks in members:
+                    if (ask or asks) and (wanted is None or {key[0], other[0]} == wanted):
                         found = pair(other, theirs, key, names) if other < key else pair(key, names, other, theirs)
                         if found:
                             out.append(found)
-                members.append((key, list(names)))
+                members.append((key, list(names), ask))
             yield pd.DataFrame(out, columns=["a", "b", "name", "slip", "numbered"])
 
     ordered = blocks.repartition("h").sortWithinPartitions("h")
