@@ -235,11 +235,14 @@ def person_edges(scored: DataFrame) -> DataFrame:
     # chain of records ties two persons together; records that touch no person join each other.
     person = joined.select("r", "person", "key")
     links = cut(scored.filter("ka <> 'd' and kb <> 'd'").filter((F.col("pts") >= JOIN_OTHERS) & (F.col("same_id") >= 0)).select("a", "b", "pts"))
-    for _ in range(2):
+    while True:
         pa, pb = (person.select(F.col("r").alias(x), F.col("key").alias(f"key_{x}"), F.col("person").alias(f"person_{x}")) for x in "ab")
         known = links.join(pa, "a", "left").join(pb, "b", "left")
         half = known.filter("person_a is null").select(F.col("a").alias("r"), F.col("person_b").alias("person"), F.col("key_b").alias("key"), "pts").unionAll(known.filter("person_b is null").select(F.col("b").alias("r"), F.col("person_a").alias("person"), F.col("key_a").alias("key"), "pts"))
         later = half.filter("person is not null").groupBy("r").agg(F.max_by(F.struct("person", "key"), F.struct("pts", "person", "key")).alias("m")).select("r", "m.person", "m.key")
+        later = cut(later)
+        if later.isEmpty():
+            break
         person = cut(person.unionAll(later))
     one = person.select("r")
     loose = links.join(one.withColumnRenamed("r", "a"), "a", "left_anti").join(one.withColumnRenamed("r", "b"), "b", "left_anti").select("a", "b")
