@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
-from rollcall.llm.sentences import sentence_spans, split_sentences
+from rollcall.llm.sentences import sentence_spans, split_sentences, wrap_width
 
 
 def units(text, **k):
@@ -71,3 +73,32 @@ def test_on_tables(spark, rows):
     df = spark.createDataFrame([(1, "Ab. Cd.", "en", "x"), (2, None, "en", "x"), (3, "", None, "x"), (1, "E.", "en", "y")], "doc_id long, text string, lang string, start_char string")
     assert rows(split_sentences(df)) == [(1, 0, 2), (1, 0, 3), (1, 4, 7)]
     assert rows(split_sentences(df.filter("false"))) == []
+
+
+@pytest.mark.parametrize("lang", ["en", "und", None, "en-GB"])
+def test_words_that_other_languages_shorten_end_english_sentences(lang):
+    for parts in (["He told me.", "Then he left."], ["The light was on.", "She slept well."], ["They built an arch.", "It fell down."], ["She used a rag.", "It was wet."], ["He went to bed.", "25 people came."], ["It fell to 86.0%.", "The rest stayed."]):
+        assert units(" ".join(parts), lang=lang) == parts
+
+
+def test_a_passage_in_another_language_has_its_own_abbreviations():
+    parts = ["The list was read by the office.", "Véase la pág. 25, núm. 3, de la nota.", "It was in the annex."]
+    assert units(" ".join(parts), lang="en") == parts
+
+
+def test_terminators_of_all_scripts():
+    for parts in (["မင်္ဂလာပါ။", "နေကောင်းလား။"], ["សួស្តី។", "អរគុណ៕"], ["ሰላም ነው።", "ደህና ነህ፧", "አዎ፨"], ["ܫܠܡܐ܁", "ܐܢܐ܀"]):
+        assert units(" ".join(parts)) == parts
+
+
+def test_width_is_read_off_the_text():
+    line = "the roster of this institute lists many more people than the one\n"
+    text = line * 6 + "after that a line as long as the others ends before the word of\nKirchdorf, which goes on."
+    assert len(units(text)) == 1 and wrap_width(line * 6 + line) in range(64, 69) and wrap_width("A line.\nB line.") == 0
+
+
+def test_lists_without_marks_stay_linear():
+    for t in ("item word and\n" * 8_000, "abc (def\n" * 8_000, "“open [x (y\n" * 8_000, "a." * 8_000 + " " * 8_000 + "x", "1. 2. a) " * 8_000):
+        begin = time.perf_counter()
+        sentence_spans(t, "en")
+        assert time.perf_counter() - begin < 3
