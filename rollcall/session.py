@@ -38,15 +38,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor reaches: that of `spark.checkpoint.dir`, or the one set on the context.
 
-    The folder is the one of `spark.checkpoint.dir`; only where neither that nor a folder set on the context
-    exists (a local test session) a temporary one is made.
+    Where neither exists, a local session gets a temporary one; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors reach")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rollcall-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and returns it without its lineage.
+
+    The written rows get a plan of their own: the plan that checkpoint() returns still holds on to the one it came from,
+    which in a loop doubles with every round.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    shared_folder(spark)
+    written = df.checkpoint(eager=True)
+    plain = spark._jsparkSession.internalCreateDataFrame(written._jdf.queryExecution().toRdd(), written._jdf.schema(), False)
+    return DataFrame(plain, spark)

@@ -11,16 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.session import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which every executor reaches; a temporary one in local sessions only."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="rollcall-files-")
-    return f"{base.rstrip('/')}/rollcall/{name}-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints, which every executor reaches."""
+    return f"{shared_folder(spark).rstrip('/')}/rollcall/{name}-{uuid.uuid4().hex}"
 
 
 def text_schema(columns: list[str]) -> T.StructType:
