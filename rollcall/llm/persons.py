@@ -95,15 +95,21 @@ def name_key(text: str) -> str:
     if m:
         number, text = m.group(1), text[: m.start()]
     folded = fold(_LETTER_DIGIT.sub(lambda x: x.group().translate(_DIGIT), text))
-    tokens = []
+    tokens: list[str] = []
+    small: list[tuple[int, str]] = []
     for part in re.findall(r"[^\W\d_]+\.?", folded.replace("'", "").replace("’", "")):
         bare = part.rstrip(".")
+        if bare in PARTICLES and part == bare:
+            small.append((len(tokens), part))
+            continue
         if bare in PARTICLES or bare in HONORIFICS and not (len(bare) <= 2 and part.endswith(".") and bare not in ("dr",)):
             continue
         tokens.append(part if part.endswith(".") and len(bare) > 1 else bare)
     if "," in text:  # surname first
         head = len([t for t in re.findall(r"[^\W\d_]+\.?", fold(text.split(",")[0])) if t.rstrip(".") not in PARTICLES | HONORIFICS])
         tokens = tokens[head:] + tokens[:head]
+    if len(tokens) == 1 and len(small) == 1:  # what looks like a particle is half of the name
+        tokens.insert(small[0][0], small[0][1])
     return " ".join(tokens) + "|" + number if tokens else ""
 
 
@@ -122,35 +128,44 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+#: What the longest-common-subsequence ratio of two tokens counts at most where it rests on an initial, on a token cut
+#: short, on a short form of a name or on rn for m.
+INITIAL, CUT, SHORT = 0.6, 0.8, 0.95
+
+
 @lru_cache(maxsize=500_000)
-def token_match(a: str, b: str) -> float:
-    """How far two name tokens agree: 1 equal, 0.95 a short form, down to 0.6 an initial; 0.9 one slip; 0 not."""
+def token_match(a: str, b: str) -> tuple[float, bool]:
+    """(ratio, slip): twice the longest common subsequence of two tokens over their lengths, 0 where it leaves out more
+    than one letter of either; slip tells that it leaves out one.
+
+    Of an initial, or a token cut short, only the letters it gives are compared; short forms compare as the full form.
+    """
     if a == b:
-        return 1.0
+        return 1.0, False
     x, y = a.rstrip("."), b.rstrip(".")
     if len(x) > len(y):
         x, y, a, b = y, x, b, a
     if len(x) == 1:
-        return 0.6 if y[0] == x else 0.0
+        return INITIAL * lcs(x, y[0]), False
     if x == y:
-        return 1.0
-    if x.replace("rn", "m") == y.replace("rn", "m"):
-        return 0.95
-    if y in _SHORT.get(x, ()) or x in _SHORT.get(y, ()) or _SHORT.get(x, set()) & _SHORT.get(y, set()):
-        return 0.95
+        return 1.0, False
+    if x.replace("rn", "m") == y.replace("rn", "m") or y in _SHORT.get(x, ()) or x in _SHORT.get(y, ()) or _SHORT.get(x, set()) & _SHORT.get(y, set()):
+        return SHORT, False
     if a.endswith(".") and y.startswith(x):
-        return 0.8
-    if len(x) >= 4 and len(y) - len(x) <= 1 and len(x) + len(y) - 2 * lcs(x, y) <= 2:
-        return 0.9  # a slip: one letter more, less or other, or two exchanged; an LCS ratio of 0.75 to 0.97 by length
-    return 0.0
+        return CUT, False
+    common = lcs(x, y) if len(x) >= 4 and len(y) - len(x) <= 1 else 0
+    if len(x) + len(y) - 2 * common <= 2:
+        return 2 * common / (len(x) + len(y)), True
+    return 0.0, False
 
 
 def name_match(a: str, b: str) -> tuple[float, bool]:
-    """(score, slip) of two name keys; 0 if they can't be one name.
+    """(ratio, slip) of two name keys; 0 if they can't be one name.
 
     Every token of the shorter name must find its own in the longer; at least one pair must be of full words of four
-    letters that no initial or short form explains. The score is the LCS-based mean over the aligned tokens, less a
-    little for tokens left over. slip tells that some token only agrees but for a slip.
+    letters that no initial explains, unless all tokens are equal words of two letters or more and none is left over. The
+    ratio is the mean longest-common-subsequence ratio of the aligned tokens, less a little for tokens left over. slip
+    tells that some token only agrees but for a slip.
     """
     ta, _, na = a.partition("|")
     tb, _, nb = b.partition("|")
@@ -161,25 +176,27 @@ def name_match(a: str, b: str) -> tuple[float, bool]:
         x, y = y, x
     if len(x) < 2:
         return (1.0, False) if x == y and len(x) and len(x[0]) > 3 else (0.0, False)
-    free, total, solid, slip, bare = list(y), 0.0, 0, 0, False
+    free, total, solid, slips, bare, equal = list(y), 0.0, 0, 0, False, True
     for t in sorted(x, key=len, reverse=True):
-        best, at = 0.0, -1
+        best, slip, at, top = 0.0, False, -1, 0.0
         for i, u in enumerate(free):
-            m = token_match(t, u)
-            if m > best:
-                best, at = m, i
+            m, s = token_match(t, u)
+            if m and (rank := 0.9 if s else m) > top:
+                best, slip, at, top = m, s, i, rank
         if at < 0:
             return 0.0, False
         u = free.pop(at)
         total += best
-        slip += best == 0.9
-        solid += best >= 0.9 and min(len(t), len(u)) >= 4
-        bare = bare or best == 0.6 and len(t) >= 4
-    if not solid or slip > 2 or slip == 2 and min(map(len, x)) < 5:
+        slips += slip
+        whole = slip or best >= SHORT
+        solid += whole and min(len(t.rstrip(".")), len(u.rstrip("."))) >= 4
+        equal = equal and best == 1 and len(t) > 1
+        bare = bare or best == INITIAL and len(t) >= 4
+    if not solid and not (equal and not free) or slips > 2 or slips == 2 and min(map(len, x)) < 5:
         return 0.0, False
     if bare and y[-1] in free:
         return 0.0, False  # a whole word went with an initial while the family name is left over
-    return total / len(x) - 0.02 * len(free), bool(slip)
+    return total / len(x) - 0.02 * len(free), slips > 0
 
 
 _ORCID = re.compile(r"(?<!\d)(\d{4})[^0-9A-Za-z]{0,3}(\d{4})[^0-9A-Za-z]{0,3}(\d{4})[^0-9A-Za-z]{0,3}(\d{3}[0-9Xx])(?!\d)")

@@ -1,179 +1,188 @@
 """Linking variant spellings of one name (problem 5).
 
-Suffix blocking: every token of a spelling is indexed by its suffixes of a least length, and the shortest suffix that
-isn't overly common is the block; as records that share a longer suffix share it too, nothing is lost. A suffix that is
-too common is refined with the initials of the other tokens, then with the places of the record, before it is given
-up; equal identifiers block as well. Pairs of a block are compared by longest-common-subsequence ratio over aligned
-tokens, and what the records show besides the name tells namesakes apart.
+Suffix blocking, on distinct words before names and on distinct names before records. Every suffix of a token is
+indexed; as suffixes alone are overly common, each is refined with the head of the token before it, one letter being left
+out between: so a block holds just the tokens that differ by one slip, wherever it lies, and none needs to be given up
+for its size. Names then meet on two tokens, each in its own spelling, with a slip, or as a full form, and on a token
+with an initial where one side gives no more; they are compared by longest-common-subsequence ratio over aligned
+tokens. Records of matching names meet where they show something in common besides, and any record meets the indexed
+persons of its name; what they show tells namesakes apart. All meetings are equi-joins, which Spark splits where a key
+is hot; no group is gathered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.persons import _SHORT, describe, lcs, mark_wide_places, name_match
-from rollcall.session import cut
+from rollcall.llm.persons import _SHORT, describe, mark_wide_places, name_match
+from rollcall.operators.clusters import components as graph_components
+from rollcall.session import cut, ship
 
-#: Shortest suffix that is indexed, and the number of records above which a suffix is overly common.
-SUFFIX, COMMON = 5, 16
+#: Least length of a name token, and of a place word, that may carry a slip.
+SLIP, PLACE_SLIP = 4, 6
 
 
-def _rows(features: DataFrame, least: int) -> DataFrame:
-    """(key, t, h, n, last, initials) per distinct token of a record and suffix: hashes of token and suffix, the
-    suffix's length, whether it is the shortest, and the initials of the tokens beside it."""
-    words = features.select("key", F.explode("names").alias("n")).select("key", F.split(F.substring_index("n", "|", 1), r"\.? ").alias("w"))
-    each = words.select("key", "w", F.posexplode("w").alias("i", "token")).withColumn("token", F.rtrim(F.col("token"), F.lit(".")))
-    others = F.transform(F.filter("w", lambda x, j: j != F.col("i")), lambda x: F.substring(x, 1, 1))
-    each = each.filter(F.length("token") >= 4).select("key", "token", others.alias("initials"))
-    each = each.groupBy("key", "token").agg(F.array_distinct(F.flatten(F.collect_list("initials"))).alias("initials"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("token") - least))
-    cut_ = each.select("key", "token", "initials", F.explode(starts).alias("at")).withColumn("s", F.substring("token", F.col("at") + 1, F.lit(200)))
-    return cut_.select("key", F.xxhash64("token").alias("t"), F.xxhash64("s").alias("h"), F.length("s").alias("n"), ((F.length("s") <= least) | (F.col("at") == F.length("token") - least)).alias("last"), "initials")
+def slips(words: DataFrame, least: int) -> DataFrame:
+    """(word, others array): the other words of the table that differ by one slip: a letter more, less, other or moved.
+
+    words (word) may repeat. Both need `least` letters. Every suffix is indexed with the head before it, with and
+    without the letter between; two words share an entry exactly if their longest common subsequence leaves out one
+    letter of either at most. Words without a slip partner have no row.
+    """
+    w = words.filter(F.length("word") >= least).select("word").distinct()
+    n = F.length("word")
+    cuts = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, n))))
+    index = w.select("word", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("word")), cuts))).alias("h"))
+    both = index.join(index.withColumnRenamed("word", "other"), "h").filter("word <> other")
+    return both.groupBy("word").agg(F.collect_set("other").alias("others"))
 
 
-def _ladder(rows: DataFrame, common: int) -> DataFrame:
-    """(key, h): per token the shortest suffix that more than one record has but not more than `common`."""
-    fit = rows.groupBy("h").agg(F.count("*").alias("seen")).filter((F.col("seen") > 1) & (F.col("seen") <= common)).select("h")
-    return rows.select("key", "t", "h", "n").join(fit, "h", "left_semi").groupBy("key", "t").agg(F.min_by("h", F.struct("n", "h")).alias("h")).select("key", "h")
+def _classes(words: DataFrame) -> DataFrame:
+    """(word, own): the word, rn read as m, with the full forms it is short for."""
+    short = words.sparkSession.createDataFrame([(x, sorted(y)) for x, y in sorted(_SHORT.items())], "word string, full array<string>")
+    own = F.concat(F.array("word"), F.coalesce("full", F.array().cast("array<string>")))
+    return words.join(F.broadcast(short), "word", "left").select("word", F.array_distinct(F.transform(own, lambda x: F.replace(x, F.lit("rn"), F.lit("m")))).alias("own"))
 
 
-def whole_blocks(features: DataFrame, hot: DataFrame) -> DataFrame:
-    """(key, h, ask) of records with a token whose hash t is in hot: by that token with each other token or a full form
-    of it, and by that token with the initial of another, where records ask that have no more than the initial.
+def name_entries(names: DataFrame) -> DataFrame:
+    """(n, h, asks) of distinct names (n): what each is indexed under, and what it asks for.
 
-    Kept however common and without regard to places, as one side may show none. rn counts as m, as in token_match.
+    A name is indexed under the classes of each two of its tokens and of a token with the initial of another. It asks
+    for the same with slips, and for token and initial only where it has no more than an initial or a cut token.
     """
-    even = lambda c: F.replace(F.col(c), F.lit("rn"), F.lit("m"))
-    words = features.select("key", F.explode("names").alias("n")).select("key", F.split(F.substring_index("n", "|", 1), " ").alias("w"))
-    each = words.select("key", "w", F.posexplode("w").alias("i", "token")).withColumn("token", F.rtrim(F.col("token"), F.lit("."))).filter(F.length("token") >= 4)
-    each = each.withColumn("t", F.xxhash64("token")).join(hot, "t", "left_semi")
-    others = F.when(F.size("w") == 1, F.array(F.lit(""))).otherwise(F.filter("w", lambda x, j: j != F.col("i")))
-    each = each.select("key", even("token").alias("token"), F.explode(others).alias("u")).withColumn("bare", F.rtrim(F.col("u"), F.lit("."))).distinct()
-    short = features.sparkSession.createDataFrame([(x, y) for x, full in _SHORT.items() for y in full], "bare string, full string")
-    full = each.join(F.broadcast(short), "bare").select("key", "token", F.col("full").alias("bare"))
-    pairs = each.filter("length(bare) <> 1").select("key", "token", "bare").unionAll(full).withColumn("bare", even("bare"))
-    pairs = pairs.select(F.xxhash64(F.lit("="), F.least("token", "bare"), F.greatest("token", "bare")).alias("h"), "key").distinct().withColumn("ask", F.lit(True))
-    initials = each.filter("bare <> ''").select(F.xxhash64(F.lit("^"), "token", F.substring("bare", 1, 1)).alias("h"), "key", ((F.length("bare") == 1) | F.col("u").endswith(".")).alias("ask"))
-    every = pairs.unionAll(initials.groupBy("h", "key").agg(F.max("ask").alias("ask")))
-    met = every.groupBy("h").agg(F.count("*").alias("seen"), F.max("ask").alias("any")).filter("seen > 1 and any").select("h")
-    return every.join(met, "h", "left_semi").select("key", "h", "ask")
-
-
-def suffix_blocks(features: DataFrame, least: int = SUFFIX, common: int = COMMON) -> DataFrame:
-    """(h, key, ask) of records that may be one person, h the hash of what they share; a pair of a block counts if either
-    asks.
-
-    A suffix that more than `common` records have is refined with an initial of another token, and with a place; what
-    is common even with a place is refined with the whole token, the place and an initial, and then kept, however
-    common. Whole tokens that common also block with each other token, as in `whole_blocks`, wherever the places.
-    Equal identifiers and homepages block as well.
+    each = names.select("n", F.posexplode(F.split(F.substring_index("n", "|", 1), " ")).alias("i", "t"))
+    each = each.withColumn("word", F.rtrim("t", F.lit(".")))
+    words = each.select("word").distinct()
+    near = slips(words, SLIP)
+    own = _classes(words)
+    wide = near.select("word", F.explode("others").alias("o")).join(own.select(F.col("word").alias("o"), "own"), "o").groupBy("word").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("wide"))
+    entry = cut(own.join(wide, "word", "left").select("word", "own", F.array_union("own", F.coalesce("wide", F.array().cast("array<string>"))).alias("wide")))
+    token = F.struct("i", "word", ((F.length("word") == 1) | (F.col("t") != F.col("word"))).alias("cut"), "own", "wide")
+    whole = cut(each.join(entry, "word").groupBy("n").agg(F.collect_list(token).alias("ts")))
+    single = whole.filter(F.size("ts") == 1).select("n", F.xxhash64(F.lit("1"), F.col("ts")[0]["word"]).alias("h"))
+    two = whole.select("n", "ts", F.explode("ts").alias("a")).select("n", "a", F.explode(F.filter("ts", lambda t: t.i != F.col("a.i"))).alias("b"))
+    full = two.filter("a.i < b.i and length(a.word) > 1 and length(b.word) > 1")
+    part = two.filter(f"length(a.word) >= {SLIP}")
+
+    def met(x: str) -> Column:
+        return F.explode(F.flatten(F.transform(F.col(f"a.{x}"), lambda p: F.transform(F.col(f"b.{x}"), lambda q: F.xxhash64(F.lit("="), F.least(p, q), F.greatest(p, q))))))
+
+    def initial(x: str) -> Column:
+        return F.explode(F.transform(F.col(f"a.{x}"), lambda p: F.xxhash64(F.lit("^"), p, F.substring("b.word", 1, 1))))
+
+    shown = single.unionAll(full.select("n", met("own").alias("h"))).unionAll(part.select("n", initial("own").alias("h")))
+    asked = single.unionAll(full.select("n", met("wide").alias("h"))).unionAll(part.filter("b.cut").select("n", initial("wide").alias("h")))
+    return shown.distinct().withColumn("asks", F.lit(False)).unionAll(asked.distinct().withColumn("asks", F.lit(True)))
+
+
+def name_pairs(names: DataFrame) -> DataFrame:
+    """(x, y, name, slip, numbered) of distinct names (n): all ordered pairs that can be one name, and each with itself.
+
+    name is the ratio of their longest common subsequences, slip that it rests on a slip of the pen, numbered that both
+    carry the same homonym number.
+    """
+    entries = cut(name_entries(names))
+    x = entries.filter("asks").select("h", F.col("n").alias("x"))
+    y = entries.filter("not asks").select("h", F.col("n").alias("y"))
+    number = lambda c: F.substring_index(c, "|", -1)
+    fits = (number("x") == "") | (number("y") == "") | (number("x") == number("y"))
+    met = x.join(y, "h").filter(fits & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met = met.unionAll(names.select(F.col("n").alias("x"), F.col("n").alias("y")))
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [name_match(p, q) for p, q in zip(b["x"], b["y"], strict=True)]
+            b = b.assign(name=[r for r, _ in both], slip=[s for _, s in both])
+            yield b[b["name"] > 0]
+
+    good = met.mapInPandas(compared, "x string, y string, name double, slip boolean")
+    good = cut(good.withColumn("numbered", (number("x") == number("y")) & (number("x") != "")))
+    return good.unionAll(good.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "name", "slip", "numbered"))
+
+
+def _shown(places: str) -> Column:
+    """What a record shows besides a name, as keys: place words, parts of an identifier, the homepage.
+
+    An identifier of four blocks shows each two of them, so that identifiers with up to two wrong signs meet.
     """
-    rows = cut(_rows(features, least))
-    often = rows.groupBy("h").agg(F.count("*").alias("seen")).filter(F.col("seen") > common).select("h")
-    plain = _ladder(rows, common)
-    shared = rows.join(often, "h", "left_semi")
-    initial = shared.select("key", "t", "h", "n", F.explode("initials").alias("x"))
-    initial = _ladder(initial.select("key", F.xxhash64("t", "x").alias("t"), F.xxhash64("h", "x").alias("h"), "n"), common)
-    narrow = F.filter("places", lambda w: ~w.startswith("~"))
-    placed = shared.filter("last").join(features.filter(F.size("places") > 0).select("key", F.when(F.size(narrow) > 0, narrow).otherwise(F.col("places")).alias("places")), "key").select("key", "t", "initials", "h", F.explode("places").alias("place"))
-    placed = placed.select("key", F.xxhash64("h", "place").alias("h"), F.xxhash64("t", "place").alias("hp"), "initials")
-    crowd = placed.groupBy("h").agg(F.count("*").alias("seen")).filter(F.col("seen") > 1)
-    few = placed.join(crowd.filter(F.col("seen") <= common).select("h"), "h", "left_semi").select("key", "h")
-    many = placed.join(crowd.filter(F.col("seen") > common).select("h"), "h", "left_semi").select("key", "hp", F.explode("initials").alias("x")).select("key", F.xxhash64("hp", "x").alias("h"))
-    ids = features.filter("orcid <> ''").select("key", F.xxhash64(F.lit("#"), "orcid").alias("h")).unionAll(features.filter("user <> '' and host <> ''").select("key", F.xxhash64(F.lit("~"), "user", "host").alias("h")))
-    hot = rows.filter("h = t").select("t").distinct().join(often.withColumnRenamed("h", "t"), "t", "left_semi")
-    return plain.unionAll(initial).unionAll(few).unionAll(many).unionAll(ids).distinct().withColumn("ask", F.lit(True)).unionAll(whole_blocks(features, hot))
-
-
-def same_names(features: DataFrame, kinds: tuple[str, str] | None = None) -> DataFrame:
-    """(a, b, name, slip, numbered), a < b, of records that share a block and of which two spellings can be one name.
-
-    name is the best score over the spellings of both, slip that it rests on a slip of the pen, numbered that both
-    carry the same homonym number. kinds keeps pairs of one record of either kind only. The members of a block come
-    in one run of sorted rows and are compared as they come; names travel once for each block of a record, not for each
-    pair.
+    blocks = [F.substring("orcid", 1 + 4 * k, 4) for k in range(4)]
+    parts = F.when(F.col("orcid") != "", F.array(*[F.concat(F.lit(f"#{i}{j}"), blocks[i], blocks[j]) for i, j in combinations(range(4), 2)]))
+    home = F.when((F.col("user") != "") & (F.col("host") != ""), F.array(F.concat_ws("/", F.lit("@"), "host", "user")))
+    none = F.array().cast("array<string>")
+    return F.concat(F.col(places), F.coalesce(parts, none), F.coalesce(home, none))
+
+
+def near_places(features: DataFrame) -> DataFrame:
+    """features with `around`: the places and the words of other records that differ from one by a slip."""
+    words = features.select("key", F.explode("places").alias("word"))
+    near = slips(words.select("word"), PLACE_SLIP)
+    more = words.join(near, "word").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("more"))
+    return features.join(more, "key", "left").withColumn("around", F.array_union("places", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+
+
+SCORE = ["name", "slip", "numbered"]
+
+
+def _best(every: DataFrame) -> DataFrame:
+    """One row for each pair of records: of several spellings the best pair counts, one without a slip before one with."""
+    every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *SCORE)
+    best = every.groupBy("a", "b").agg(F.max(F.struct((~F.col("slip")).alias("whole"), "name")).alias("m"), F.max("numbered").alias("numbered"))
+    return best.select("a", "b", "m.name", (~F.col("m.whole")).alias("slip"), "numbered")
+
+
+def same_names(features: DataFrame) -> DataFrame:
+    """(a, b, name, slip, numbered), a < b: all records of which two spellings can be one name, as in `name_pairs`."""
+    named = cut(features.select("key", F.explode("names").alias("n")))
+    pairs = cut(name_pairs(named.select("n").distinct()))
+    one, two = named.select(F.col("n").alias("x"), F.col("key").alias("a")), named.select(F.col("n").alias("y"), F.col("key").alias("b"))
+    return _best(one.join(pairs, "x").join(two, "y").filter("a < b"))
+
+
+def likely_pairs(features: DataFrame) -> DataFrame:
+    """The pairs of same_names that can count: one is an indexed person, or both show something in common besides (see
+    `_shown`) or carry the same homonym number. features have `around`, as `near_places` adds it.
+
+    Two records that aren't indexed need more than a name to be one person, so of a hot name only those meet that
+    have it.
     """
-    blocks = suffix_blocks(features).join(features.select("key", "names"), "key").select("h", "key", "names", "ask")
-    wanted = None if kinds is None else frozenset(kinds)
-
-    def pair(a: str, na, b: str, nb):
-        best, slip, numbered = 0.0, False, False
-        for x in na:
-            for y in nb:
-                s, slipped = name_match(x, y)
-                if s > 0 and (best == 0 or (not slipped, s) > (not slip, best)):
-                    best, slip = s, slipped
-                numbered = numbered or s > 0 and x.partition("|")[2] == y.partition("|")[2] != ""
-        return (a, b, best, slip, numbered) if best else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, members = None, []
-        for batch in batches:
-            out = []
-            for h, key, names, ask in batch.itertuples(index=False):
-                if h != now:
-                    now, members = h, []
-                for other, theirs, asks in members:
-                    if (ask or asks) and (wanted is None or {key[0], other[0]} == wanted):
-                        found = pair(other, theirs, key, names) if other < key else pair(key, names, other, theirs)
-                        if found:
-                            out.append(found)
-                members.append((key, list(names), ask))
-            yield pd.DataFrame(out, columns=["a", "b", "name", "slip", "numbered"])
-
-    ordered = blocks.repartition("h").sortWithinPartitions("h")
-    return ordered.mapInPandas(run, "a string, b string, name double, slip boolean, numbered boolean").dropDuplicates(["a", "b"])
-
-
-def compare(features: DataFrame, kinds: tuple[str, str] | None = None) -> DataFrame:
-    """same_names with what the records show besides: same_id, same_home, shared and apart.
-
-    Identifiers compare as equal (1), nearly equal (0.7: an exchange or two wrong signs), different (-1) or unknown
-    (0), homepages alike; shared counts equal or nearly equal place words, wide those of towns, apart tells how far both
-    have places and share none.
+    named = cut(features.select("key", "kind", F.explode("names").alias("n"), _shown("places").alias("e"), _shown("around").alias("f")))
+    pairs = cut(name_pairs(named.select("n").distinct()))
+    own = F.when(F.substring_index("n", "|", -1) != "", F.array(F.concat(F.lit("n"), F.substring_index("n", "|", -1)))).otherwise(F.array().cast("array<string>"))
+    one = named.select(F.col("n").alias("x"), F.col("key").alias("a"), F.explode(F.concat("e", own)).alias("e")).join(pairs, "x").select(F.xxhash64("y", "e").alias("h"), "a", *SCORE)
+    two = named.select(F.explode(F.transform(F.array_distinct(F.concat("f", own)), lambda e: F.xxhash64("n", e))).alias("h"), F.col("key").alias("b"))
+    besides = one.join(two, "h").filter("a <> b").select("a", "b", *SCORE)
+    persons = named.filter("kind = 'd'").select(F.col("n").alias("y"), F.col("key").alias("b"))
+    direct = named.filter("kind <> 'd'").select(F.col("n").alias("x"), F.col("key").alias("a")).join(pairs, "x").join(persons, "y").select("a", "b", *SCORE)
+    return _best(besides.unionAll(direct))
+
+
+def compare(features: DataFrame) -> DataFrame:
+    """likely_pairs with what the records show besides: same_id, same_home, shared, wide and apart.
+
+    Identifiers compare as equal (1), nearly equal (0.7: two wrong signs at most), different (-1) or unknown (0),
+    homepages alike; shared counts equal or nearly equal place words, wide those of towns, apart tells how far both have
+    places and share none.
     """
-    named = cut(same_names(features, kinds))
-    cols = ["places", "orcid", "host", "user"]
-    fa, fb = (features.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols]) for x in "ab")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for a, b, name, slip, numbered, pa, oa, ha, ua, pb, ob, hb, ub in batch.itertuples(index=False):
-                same_id = 0.0
-                if oa and ob:
-                    same_id = 1.0 if oa == ob else 0.7 if 32 - 2 * lcs(oa, ob) <= 2 or sum(p != q for p, q in zip(oa, ob, strict=True)) <= 2 else -1.0
-                same_home = 0.0
-                if ua and ub:
-                    same_home = 1.0 if (ha, ua) == (hb, ub) else -1.0 if ha != hb else -0.5
-                narrow, wide = places_shared(pa, pb)
-                apart = 0.0
-                if len(pa) and len(pb) and not narrow:
-                    both = any(w[0] != "~" for w in pa) and any(w[0] != "~" for w in pb)
-                    apart = 1.0 if not wide else 0.4 if both else 0.0
-                rows.append((a, b, name, slip, numbered, same_id, same_home, narrow, wide, apart))
-            yield pd.DataFrame(rows, columns=["a", "b", "name", "slip", "numbered", "same_id", "same_home", "shared", "wide", "apart"])
-
-    order = ["a", "b", "name", "slip", "numbered", *[f"{c}_a" for c in cols], *[f"{c}_b" for c in cols]]
-    wide = named.join(fa, "a").join(fb, "b").select(*order)
-    return wide.mapInPandas(run, "a string, b string, name double, slip boolean, numbered boolean, same_id double, same_home double, shared int, wide int, apart double")
-
-
-def places_shared(a: list[str], b: list[str]) -> tuple[int, int]:
-    """Numbers of narrow and of wide (marked ~) words of a with an equal or nearly equal word in b."""
-    other = set(b)
-    narrow = wide = 0
-    for w in a:
-        if w in other or len(w) >= 6 and any(abs(len(w) - len(v)) <= 1 and len(w) + len(v) - 2 * lcs(w, v) <= 2 for v in b):
-            if w.startswith("~"):
-                wide += 1
-            else:
-                narrow += 1
-    return narrow, wide
+    features = cut(near_places(features))
+    named = cut(likely_pairs(features))
+    fa = features.select(F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("places", "orcid", "host", "user")])
+    fb = features.select(F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("places", "around", "orcid", "host", "user")])
+    both = named.join(fa, "a").join(fb, "b")
+    wrong = F.size(F.filter(F.sequence(F.lit(1), F.lit(16)), lambda i: F.substring("orcid_a", i, F.lit(1)) != F.substring("orcid_b", i, F.lit(1))))
+    same_id = F.when((F.col("orcid_a") == "") | (F.col("orcid_b") == ""), 0.0).when(F.col("orcid_a") == F.col("orcid_b"), 1.0).when(wrong <= 2, 0.7).otherwise(-1.0)
+    hosts = F.col("host_a") == F.col("host_b")
+    same_home = F.when((F.col("user_a") == "") | (F.col("user_b") == ""), 0.0).when(~hosts, -1.0).when(F.col("user_a") == F.col("user_b"), 1.0).otherwise(-0.5)
+    town = lambda w: w.startswith("~")
+    met = F.filter("places_a", lambda w: F.array_contains("around_b", w))
+    both = both.withColumns({"same_id": same_id, "same_home": same_home, "shared": F.size(F.filter(met, lambda w: ~town(w))), "wide": F.size(F.filter(met, town))})
+    narrow = F.exists("places_a", lambda w: ~town(w)) & F.exists("places_b", lambda w: ~town(w))
+    apart = F.when((F.size("places_a") == 0) | (F.size("places_b") == 0) | (F.col("shared") > 0), 0.0).when(F.col("wide") == 0, 1.0).when(narrow, 0.4).otherwise(0.0)
+    return both.select("a", "b", "name", "slip", "numbered", "same_id", "same_home", "shared", "wide", apart.alias("apart"))
 
 
 def place_points() -> Column:
@@ -191,23 +200,11 @@ def evidence() -> Column:
     return name + shared + ids + home + F.when(F.col("numbered"), 1.0).otherwise(0.0)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(key, root) of the connected components of edges (a, b): the least key of each, by repeated hooking and jumping.
-
-    Every round halves long chains at least; it ends when nothing changes. Loops and repeated edges do no harm.
-    """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "key"))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        low = label.join(near.withColumnRenamed("a", "key"), "key").select("key", "root", F.least("root", "near").alias("low"))
-        jump = label.select(F.col("key").alias("low"), F.col("root").alias("far"))
-        new = cut(low.join(jump, "low", "left").select("key", "root", F.least("low", F.coalesce("far", "low")).alias("new")))
-        changed = new.filter("new <> root").limit(1).count()
-        label = new.select("key", F.col("new").alias("root"))
-        if not changed:
-            break
-    return label
+def components(edges: DataFrame) -> DataFrame:
+    """(key, root) of the connected components of edges (a, b): the least key of each. Loops and repeats do no harm."""
+    edges = edges.select("a", "b")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    return graph_components(edges, nodes).withColumnRenamed("node", "key")
 
 
 #: Least points at which a record joins an indexed person, two indexed records join, and two other records join; and
@@ -269,11 +266,11 @@ def collapse(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(features.join(members.filter("key = rep").select("key"), "key", "left_semi")), members
 
 
-def linked_variants(records: DataFrame, towns: DataFrame | None = None) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: records of one person that share no exactly equal spelling.
+def same_persons(records: DataFrame, towns: DataFrame | None = None) -> DataFrame:
+    """(key, root, spellings) of records as for `describe`: root is the least key among the records of one person.
 
-    records as for `describe`, towns as for `mark_wide_places`. Records without a usable name are linked to none. Pairs of one person within one table
-    count too. Groups of records with one spelling give no pair among themselves.
+    Records without a usable name are left out; copies that show no more than a name and are tied by nothing else have
+    no root.
     """
     features = cut(mark_wide_places(cut(describe(records).filter(F.size("names") > 0)), towns))
     alone, members = collapse(features)
@@ -283,6 +280,32 @@ def linked_variants(records: DataFrame, towns: DataFrame | None = None) -> DataF
     person = person.join(indexed, "root", "left").select(F.col("key").alias("rep"), "root", "indexed")
     placed = members.join(person, "rep", "left")
     root = F.when((F.col("key") == F.col("rep")) | F.col("indexed"), F.coalesce("root", "rep")).when(F.col("solid"), F.coalesce("root", "rep"))
-    own = placed.select("key", root.alias("root")).filter("root is not null").join(features.select("key", "spellings"), "key")
-    a, b = own.select("root", F.col("key").alias("key_a"), F.col("spellings").alias("sa")), own.select("root", F.col("key").alias("key_b"), F.col("spellings").alias("sb"))
-    return a.join(b, "root").filter((F.col("key_a") < F.col("key_b")) & ~F.arrays_overlap("sa", "sb")).select("key_a", "key_b")
+    return placed.select("key", root.alias("root")).join(features.select("key", "spellings"), "key")
+
+
+def variant_classes(records: DataFrame, towns: DataFrame | None = None) -> DataFrame:
+    """(key, person, links): one row for each record with a usable name: its class, and how many records of it
+    `linked_variants` links to it. Nothing is multiplied, so a person may have any number of records."""
+    own = cut(same_persons(records, towns).select("key", F.coalesce("root", "key").alias("person"), F.array_sort(F.array_distinct("spellings")).alias("s")))
+    whole = own.groupBy("person", "s").agg(F.count("*").alias("n"))
+    spelled = whole.withColumn("sp", F.explode("s"))
+    # Records of equal spellings are one class; of the others those are linked that share no spelling.
+    shared = spelled.select("person", "s", "sp").join(spelled.select("person", F.col("s").alias("t"), F.col("n").alias("m"), "sp"), ["person", "sp"]).select("person", "s", "t", "m").distinct().groupBy("person", "s").agg(F.sum("m").alias("alike"))
+    total = whole.groupBy("person").agg(F.sum("n").alias("all"))
+    return own.join(shared, ["person", "s"]).join(total, "person").select("key", "person", (F.col("all") - F.col("alike")).alias("links"))
+
+
+def linked_variants(records: DataFrame, towns: DataFrame | None = None) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: records of one person that share no exactly equal spelling.
+
+    records as for `describe`, towns as for `mark_wide_places`. Records without a usable name are linked to none. Pairs
+    of one person within one table count too. Groups of records with one spelling give no pair among themselves:
+    spellings are paired first and the records behind them last.
+    """
+    own = cut(same_persons(records, towns).filter("root is not null").select("root", "key", F.array_sort(F.array_distinct("spellings")).alias("s")))
+    kinds = own.select("root", "s").distinct()
+    several = kinds.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    kinds = kinds.join(several, "root", "left_semi")
+    apart = kinds.join(kinds.withColumnRenamed("s", "t"), "root").filter((F.col("s") < F.col("t")) & ~F.arrays_overlap("s", "t"))
+    both = apart.join(own, ["root", "s"]).select("root", "t", F.col("key").alias("x")).join(own.select("root", F.col("s").alias("t"), F.col("key").alias("y")), ["root", "t"])
+    return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))

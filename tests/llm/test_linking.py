@@ -5,9 +5,9 @@ import random
 import numpy as np
 
 from rollcall.llm.canonical import map_titles_and_places, set_similarity_join
-from rollcall.llm.linkage import link_candidates, solve
+from rollcall.llm.linkage import RULE, admm, confidences, ground, link_candidates
 from rollcall.llm.persons import clean_orcid, homepage_key, lcs, name_key, name_match, token_match
-from rollcall.llm.variants import components, linked_variants
+from rollcall.llm.variants import components, linked_variants, name_pairs, slips, variant_classes
 
 
 def test_prefix_filter_join_is_complete(spark):
@@ -41,7 +41,7 @@ def test_names():
     for a, b in [("Ada Quillfors 0001", "Ada Quillfors 0002"), ("Ada Quillfors", "Ida Quellmors"), ("Jo Kuipevboer", "Jo Kuipulboer"), ("Ada P. Quillfors", "Ada Z. Quillfors"), ("Johan Wijnevar", "Johan W. Kuipboer"), ("", "Ada Quillfors")]:
         assert name_match(name_key(a), name_key(b))[0] == 0, (a, b)
     assert lcs("abcbdab", "bdcaba") == 4 and lcs("", "abc") == 0
-    assert token_match("ada", "ada") == 1 and token_match("a", "ada") == 0.6
+    assert token_match("ada", "ada") == (1.0, False) and token_match("a", "ada") == (0.6, False) and token_match("kuipers", "kuypers") == (12 / 14, True) and token_match("kuipers", "kuyperd")[0] == 0
     assert clean_orcid("https://orcid.example/0042-1111-2222-333x") == "004211112222333X" and clean_orcid("0000-0000-0000-0000") == "" and clean_orcid(None) == ""
     assert homepage_key("https://WWW.people.x-1.example/~AQUILL12/index.html") == ("x-1.example", "aquill")
 
@@ -54,25 +54,48 @@ def test_components(spark, rows):
 
 def test_solver_reaches_the_minimum():
     rng = np.random.default_rng(2)
-    record = np.array([0, 0, 0, 1, 1, 2])
-    hub = np.array([0, 1, 2, 0, 3, 4])
-    up, down = rng.uniform(0.2, 3, 6), rng.uniform(0.5, 2, 6)
-    z = solve(record, hub, up, down, steps=5000, near=1e-9)
-    assert (z >= -1e-6).all() and (z <= 1 + 1e-6).all() and (np.bincount(record, weights=z) <= 1 + 1e-4).all()
-
-    def cost(v):
-        m = (v[0] + v[3]) / 2
-        return (up * (1 - v) ** 2 + down * v**2).sum() + 2.0 * ((v[0] - m) ** 2 + (v[3] - m) ** 2)
+    # Variables 0..3 are matches of two records (0, 1 and 2, 3), 4 tells that the records are one.
+    index = np.array([[0, -1, -1], [0, -1, -1], [1, -1, -1], [2, -1, -1], [3, -1, -1], [4, -1, -1], [4, -1, -1], [4, 0, 2], [4, 1, 3], [4, 2, 0], [4, 3, -1]])
+    sign = np.where(index >= 0, [[-1.0, 0, 0], [1, 0, 0], [-1, 0, 0], [-1, 0, 0], [1, 0, 0], [-1, 0, 0], [1, 0, 0], [1, 1, -1], [1, 1, -1], [1, 1, -1], [1, 1, 0]], 0.0)
+    offset = np.array([0.9, 0, 0.8, 0.6, 0, 1, 0, -1, -1, -1, -1])
+    weight = rng.uniform(0.5, 3, len(index))
+    member, part_of = np.array([0, 1, 2, 3]), np.array([0, 0, 1, 1])
+    z = admm(np.full(5, 0.5), index, sign, offset, weight, part_of, member, steps=20_000, near=1e-10)
+    assert (z >= 0).all() and (z <= 1).all() and z[0] + z[1] <= 1 + 1e-4 and z[2] + z[3] <= 1 + 1e-4
+
+    def cost(x):
+        return (weight * np.maximum(0, (sign * np.where(index >= 0, x[index], 0)).sum(axis=1) + offset) ** 2).sum()
 
     best = cost(z)
     for _ in range(4000):
-        v = np.clip(z + rng.normal(0, 0.05, 6), 0, 1)
-        for r in range(3):
-            s = v[record == r].sum()
-            if s > 1:
-                v[record == r] /= s
-        assert cost(v) > best - 1e-3
-    assert solve(np.array([], int), np.array([], int), np.array([]), np.array([])).size == 0
+        x = np.clip(z + rng.normal(0, 0.05, 5), 0, 1)
+        for r in (slice(0, 2), slice(2, 4)):
+            x[r] /= max(1.0, x[r].sum())
+        assert cost(x) > best - 1e-3
+    assert admm(np.empty(0), np.empty((0, 3), int), np.empty((0, 3)), np.empty(0), np.empty(0), np.empty(0, int), np.empty(0, int)).size == 0
+
+
+def planted(spark, n=12):
+    """One large group: a chain of records of which the first alone shows its person, and a rival for the rest."""
+    up = lambda w: [(w, 1.0)]
+    pairs = [("r00", "p", up(6.0), 1.0)] + [(f"r{i:02}", x, up(1.4), 1.15) for i in range(1, n) for x in ("p", "q")]
+    same = [(f"r{i:02}", f"r{j:02}", up(8.0), 1.0) for i in range(n) for j in range(i + 1, min(n, i + 4))]
+    return spark.createDataFrame(pairs, f"r string, person string, ups {RULE}, down double"), spark.createDataFrame(same, f"a string, b string, ups {RULE}, down double")
+
+
+def test_transitivity_decides_where_evidence_ties(spark):
+    variables, ties = ground(*planted(spark))
+    whole = {r["var"]: r["value"] for r in confidences(variables, ties).collect()}
+    # By evidence alone p and q are equal for every record but the first: 1.4 / 2.55 each.
+    assert all(whole[f"r{i:02}\x1fp"] > whole[f"r{i:02}\x1fq"] + 0.03 for i in range(1, 4))
+    assert whole["r01\x1fp"] - whole["r01\x1fq"] > whole["r11\x1fp"] - whole["r11\x1fq"]
+
+
+def test_blocks_of_a_large_group_agree_with_the_whole(spark):
+    variables, ties = ground(*planted(spark, 6))
+    whole = {r["var"]: r["value"] for r in confidences(variables, ties).collect()}
+    parted = {r["var"]: r["value"] for r in confidences(variables, ties, block_rows=40, rounds=24).collect()}
+    assert parted.keys() == whole.keys() and max(abs(parted[k] - whole[k]) for k in whole) < 0.02
 
 
 PERSONS = [("p1", "Ada Quillfors 0001", "", "0042-1111-2222-3333", "Norvale College Tessburg", None, None, None), ("p2", "Ada Quillfors 0002", "", "0042-1111-2222-4444", "Academy of Hollmere", "", "", ""), ("p3", "Benjamin Crowfield", "Ben Crowfield", None, None, None, None, "https://people.hollmere-2.example/~bcrowfield"), ("p4", None, None, None, None, None, None, None)]
@@ -103,6 +126,27 @@ def test_variants_link_and_namesakes_stay_apart(spark, rows):
     assert rows(linked_variants(df.filter("false"))) == []
 
 
+def test_slips_are_all_pairs_one_letter_apart(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(150)})
+    got = {(r["word"], o) for r in slips(spark.createDataFrame([(w,) for w in words], "word string"), 4).collect() for o in r["others"]}
+    assert got == {(a, b) for a in words for b in words if a != b and min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= 1 and len(a) + len(b) - 2 * lcs(a, b) <= 2}
+
+
+def test_name_pairs_are_complete(spark):
+    rng = random.Random(5)
+    first, last = ["ada", "johannes", "johan", "hans", "li", "xu", "robert", "bob", "r", "j", "rob.", "anna", "anne"], ["quillfors", "quilfors", "kuipers", "kuypers", "wei", "bo", "born", "bom", "crowfield", "crowfeild"]
+    names = sorted({" ".join(rng.sample([rng.choice(first), rng.choice(last), *([rng.choice(first)] if rng.random() < 0.4 else [])], k=2)) + rng.choice(["|", "|", "|0001", "|0002"]) for _ in range(400)} | {"crowfield|", "crowfield|0001"})
+    got = {(r["x"], r["y"]): (r["name"], r["slip"]) for r in name_pairs(spark.createDataFrame([(n,) for n in names], "n string")).collect()}
+    want = {(a, b): name_match(min(a, b), max(a, b)) for a in names for b in names}
+    assert got == {k: v for k, v in want.items() if v[0] > 0}
+
+
+def test_classes_count_links(spark, rows):
+    df = spark.createDataFrame([("c1", "c", ["Quillfors, Ada"], ["Norvale"], "", ""), ("c2", "c", ["Quillfors, Ada"], ["Norvale"], "", ""), ("d1", "d", ["Ada Quillfors"], ["Norvale"], "", ""), ("d2", "d", ["Bo Lind"], None, "", "")], "key string, kind string, spellings array<string>, affiliations array<string>, orcid string, homepage string")
+    assert rows(variant_classes(df)) == [("c1", "c1", 1), ("c2", "c1", 1), ("d1", "c1", 2), ("d2", "d2", 0)]
+
+
 def test_a_hot_name_loses_no_link(spark):
     recs = [(f"c{i:03}", "c", ["Ada Quillfors"], [f"Place{i % 40}burgh"], "", "") for i in range(120)] + [(f"k{i:03}", "k", ["A. Quillfors"], [f"Place{i}burgh"], "", "") for i in range(40)]
     df = spark.createDataFrame(recs, "key string, kind string, spellings array<string>, affiliations array<string>, orcid string, homepage string")
