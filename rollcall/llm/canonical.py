@@ -1,6 +1,7 @@
 """Mapping free-entered values to a canonical list (problem 4).
 
-Values and entries become sets of letter pairs. The join orders tokens by their rarity over all rows, meets sets only
+Values and entries become sets of letter pairs. Titles are also read with their words spelled out, by rule, from the words of
+the list. The join orders tokens by their rarity over all rows, meets sets only
 on the rare tokens of their prefixes, drops pairs by length and by position, verifies the Jaccard similarity exactly
 and keeps the best entry of each value. Values are joined once per distinct spelling and group.
 """
@@ -16,57 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.normalize import PLAIN_LETTERS
-from rollcall.llm.persons import mend
+from rollcall.llm.persons import lcs, mend
 from rollcall.session import cut
 
-# Short and other forms of titles, by the folded local title.
+# Official abbreviations of titles that no rule gives, by the folded local title.
 TITLE_FORMS = {
-    "universitatsprofessor": "uni professor|univ prof|univ prof dr|universitatsprofessorin|universitaetsprofessor w3",
-    "juniorprofessor": "jun prof|junior professor|junior professor w1|jprof dr|jprof|juniorprofessorin",
-    "honorarprofessor": "hon prof|hon prof dr ing|honorarprofessorin",
-    "ausserplanmassiger professor": "apl prof|apl prof dr|ausserplanmassige professorin|ausserplanmaessige professorin",
-    "privatdozent": "pd dr|pd|priv doz|priv doz dr|privatdozentin",
-    "akademischer oberrat": "aor|aor dr akad oberrat|akad oberrat|akademische oberratin",
-    "wissenschaftlicher mitarbeiter": "wiss mitarbeiter|wiss ma|wiss ma wissenschaftl mitarb|wissenschaftliche mitarbeiterin",
-    "nachwuchsgruppenleiter": "leiter einer nachwuchsgruppe|nachwuchsgr leiter|nachwuchsgruppenleiterin|nachwuchsgruppenleitung",
-    "assoziierter professor": "assoz prof|assoz prof di dr|assoziierte professorin",
-    "senior scientist der universitat": "sen scientist d univ|senior scientist univ|senior scientist",
-    "ordentlicher professor": "ord prof|o prof dr ordentl professor|o prof|ordentl professor|ordentliche professorin",
-    "titularprofessor": "tit prof|tit prof dr|titular prof|titularprofessorin",
-    "professeur des universites": "pu professeur des univ|prof des univ|professeure des universites|pu",
-    "maitre de conferences": "mcf|mcf maitre de conf|maitre de conf|maitresse de conferences",
-    "directeur de recherche": "dr2 directeur de rech|directeur de rech|dir de recherche|directrice de recherche|dr2",
-    "charge de recherche": "cr charge de rech|charge de rech|ch de recherche|chargee de recherche",
-    "professore ordinario": "prof ord|p o prof ordinario|prof ordinario|professoressa ordinaria",
-    "professore associato": "prof assoc italia|professore assoc|prof assoc|professoressa associata",
-    "ricercatore a tempo determinato": "ric a tempo det|rtd b ricercatore t determinato|rtd b|rtd a|ricercatrice a tempo determinato",
-    "catedratico de universidad": "catedr de univ|catedratica de universidad|cu catedratico",
-    "profesor titular de universidad": "prof titular univ|profesor titular tu|profesora titular de universidad|tu",
-    "profesor contratado doctor": "contratado doctor pcd|contratado doctor|prof contratado dr|profesora contratada doctora|pcd",
-    "hoogleraar": "hoogleraar ai|hoogleraar v m|gewoon hoogleraar",
-    "universitair hoofddocent": "uhd|uhd univ hoofddocent|univ hoofddocent",
-    "universitair docent": "ud|ud universitair doc|univ docent|universitair doc",
-    "universitetslektor": "univ lektor|universitets lektor|universitetslektor docent i ai",
-    "bitradande lektor": "bitr lektor|bitraedande lektor",
-    "forsteamanuensis": "1 amanuensis|forsteaman|foersteamanuensis|forste amanuensis",
-    "yliopistonlehtori": "yliop lehtori|yliopiston lehtori",
-    "profesor zwyczajny": "prof zw|prof zw dr hab|prof zwyczajny|profesor zwycz",
-    "adiunkt": "adiunkt badawczy|adiunkt dr|dr inz adiunkt",
-    "docent s habilitaci": "doc s habilitaci|docent s habil|docentka s habilitaci|doc s habil",
-    "kathigitis protis vathmidas": "kathig protis vathm|kathigitria protis vathmidas",
-    "reader": "reader in machine learning|reader school of computing",
-    "senior lecturer": "sr lecturer|snr lecturer|senior lecturer permanent",
-    "professor": "prof|prof dr|full professor|full time professor|professor of machine learning",
-    "associate professor": "assoc prof|assoc professor|professor associate|associate prof|associate prof tenured",
-    "assistant professor": "asst prof|assist prof|assist professor|professor assistant|assistant prof|assistant prof tenure track",
-    "research group leader": "rgl|rgl research grp leader|research grp leader|research group ldr|head of research group|group leader research|leader of a research group",
-    "postdoctoral researcher": "postdoc|post doc|postdoc researcher|post doc researcher|postdoctoral fellow|postdoctoral scientist",
-    "emeritus professor": "emer prof|prof em|prof emeritus|professor emerita|professor emeritus",
-    "visiting professor": "vis prof|vis professor|visiting prof|guest professor|guest professor visiting",
-    "scientific director": "sci director|sci dir|scientific dir|director scientific",
+    "juniorprofessor": "jprof", "ausserplanmassiger professor": "apl prof", "privatdozent": "pd|priv doz", "akademischer oberrat": "aor", "wissenschaftlicher mitarbeiter": "wiss ma",
+    "ordentlicher professor": "o prof", "maitre de conferences": "mcf", "directeur de recherche": "dr2", "ricercatore a tempo determinato": "rtd a|rtd b", "profesor titular de universidad": "tu",
+    "universitair hoofddocent": "uhd", "universitair docent": "ud", "forsteamanuensis": "1 amanuensis", "postdoctoral researcher": "postdoc", "profesor zwyczajny": "prof zw",
 }
-# What people write around a title or a place.
-TITLE_DECOR = r"^(?:position|title|stelle|poste) |^dr ing |^dr (?=\S+ \S|prof|assist|assoc|adiunkt)| and dean of studies$| dean of studies$| dept of computing$| department of computing$| ai lab$| part time$| since \d{4}$| \d{1,3}$| chair of [a-z ]+$| 80$"
+# Small words, which abbreviations leave out.
+SMALL_WORDS = frozenset("a al the of for in de des du d di da del della la le el y der die das und van voor i s et and at to no".split())
+# What people write around a place.
 PLACE_DECOR = r"^(?:greater|region|lower|upper|inner|outer|metropolitan area of|metro|city of|area of|gemeinde|comune di) | (?:cedex(?: \d+)?|building \d+|campus [a-z]+|main site|science park|harbour site|region|area)$"
 # Country names that follow a place.
 COUNTRY_NAMES = "austria belgium switzerland czechia denmark germany spain finland france greece italy netherlands norway poland sweden|united kingdom"
@@ -117,26 +79,29 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) ->
     return full.withColumn("jaccard", similarity(F.col("ta"), F.col("tb"))).filter(F.col("jaccard") >= threshold).select("grp", "left_id", "right_id", "jaccard")
 
 
-def map_values(values: DataFrame, entries: DataFrame, threshold: float, accept_title: float, accept_place: float, whole: float = 0.6) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, threshold: float, accept: float, whole: float = 0.6, spelled: float = 0.85) -> DataFrame:
     """(grp, value, canon_id, score): the best entry of each distinct (grp, value); canon_id 0 where none is near enough.
 
-    values: (grp, value, folded, variants array<string>), variants being folded readings of the value, the whole one
-    included. entries: (grp, canon_id, form), form folded; an entry may have several forms and groups. The score is a
+    values: (grp, value, folded, full, variants array<string>), variants being folded readings of the value, the whole one
+    included, full the whole one spelled out, which counts `spelled` of the whole one. entries: (grp, canon_id, form), form folded; an entry may have several forms and groups. The score is a
     mean of the best variant's Jaccard similarity and the whole value's, whole being the latter's weight; the
-    entry with the largest sum of score and edit similarity is kept, at a tie the one with the smaller canon_id. The accept limits are the least scores by kind.
+    entry with the largest sum of score and edit similarity is kept, at a tie the one with the smaller canon_id. threshold is the least Jaccard similarity at which a reading and an entry meet, accept the least score.
     """
-    readings = values.select("grp", "value", "folded", F.explode("variants").alias("id")).filter("id <> ''").distinct()
+    readings = values.select("grp", "value", "folded", "full", F.explode("variants").alias("id")).filter("id <> ''").distinct()
     left = cut(readings.select("grp", "id").distinct().withColumn("tokens", letter_pairs(F.col("id"))))
     right = cut(entries.select("grp", F.col("form").alias("id")).filter("form <> ''").distinct().withColumn("tokens", letter_pairs(F.col("id"))))
     near = cut(set_similarity_join(left, right, threshold))
     found = readings.join(near.withColumnRenamed("left_id", "id"), ["grp", "id"]).join(entries.withColumnRenamed("form", "right_id"), ["grp", "right_id"])
     form, folded = F.col("right_id"), F.col("folded")
-    entire = similarity(letter_pairs(folded), letter_pairs(form))
+    entire = F.greatest(similarity(letter_pairs(folded), letter_pairs(form)), spelled * similarity(letter_pairs(F.col("full")), letter_pairs(form)))
     found = found.withColumn("score", (1 - whole) * F.col("jaccard") + whole * F.greatest(entire, F.when(F.col("id") == folded, F.col("jaccard")).otherwise(0.0)))
-    near_by_edits = 1 - F.levenshtein(folded, form) / F.greatest(F.length(folded), F.length(form), F.lit(1))
+    edits = lambda c: 1 - F.levenshtein(c, form) / F.greatest(F.length(c), F.length(form), F.lit(1))
+    in_order = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    swapped = 1 - F.levenshtein(in_order(F.col("full")), in_order(form)) / F.greatest(F.length("full"), F.length(form), F.lit(1))
+    near_by_edits = F.greatest(edits(folded), edits(F.col("full")), swapped)
     best = found.groupBy("grp", "value").agg(F.max_by(F.struct("canon_id", "score"), F.struct(F.round(F.col("score") + near_by_edits, 9), -F.col("canon_id"))).alias("b"))
     out = values.select("grp", "value").distinct().join(best, ["grp", "value"], "left")
-    good = F.coalesce(F.col("b.score") >= F.when(F.col("grp").startswith("t:"), accept_title).otherwise(accept_place), F.lit(False))
+    good = F.coalesce(F.col("b.score") >= accept, F.lit(False))
     return out.select("grp", "value", F.when(good, F.col("b.canon_id")).otherwise(F.lit(0)).cast("long").alias("canon_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
@@ -147,19 +112,46 @@ def fold_words(text: str) -> str:
     return " ".join(_WORDS.findall(text))
 
 
-def title_variants(value: str) -> tuple[str, list[str]]:
-    """(folded whole, readings) of a typed title: without decoration, and each part between marks."""
+def stands_for(short: str, word: str) -> int:
+    """How well a typed word stands for one of the list's: 5 equal, 4 a slip, 3 its beginning, 2 another ending, 1 two letters
+    of it or a contraction (first and last letter, the others in order), 0 not."""
+    if short == word:
+        return 5
+    common = lcs(short, word)
+    least = min(len(short), len(word))
+    if least >= 4 and len(short) + len(word) - 2 * common <= 2:
+        return 4
+    if len(short) >= 3 and word.startswith(short):
+        return 3
+    if least >= 5 and abs(len(short) - len(word)) <= 3 and common >= least - 2 and short[: common - 2] == word[: common - 2]:
+        return 2
+    if 2 <= len(short) < len(word) and (word.startswith(short) or short[0] == word[0] and short[-1] == word[-1] and common == len(short)):
+        return 1
+    return 0
+
+
+def title_variants(value: str, words: tuple[str, ...] = ()) -> tuple[str, str, list[str]]:
+    """(folded whole, whole spelled out, readings) of a typed title, given the words of the entries it may be.
+
+    Readings are the whole, the parts between marks, and of each what stands for words of the list, in their full form;
+    words that stand for none are left out of those.
+    """
 
     def clean(text: str) -> str:
-        t = fold_words(text)
-        if t.startswith("1 amanu"):
-            return t
-        t = _TITLE_DECOR.sub("", _TITLE_DECOR.sub("", t)).strip()
-        return re.sub(r"^(\d+ )?(?=[a-z]{3})", "", t)
+        return re.sub(r"^(\d+ )?(?=[a-z]{3})", "", fold_words(text)) if not re.match(r"\s*1\W+[aA]", text) else fold_words(text)
+
+    def spelled_out(text: str) -> str:
+        out = []
+        for t in text.split():
+            rank, best = max(((stands_for(t, w), -len(w), w) for w in words), default=(0, 0, ""))[::2]
+            if rank:
+                out.append(best)
+        return " ".join(out)
 
     whole = clean(value)
-    parts = [clean(x) for x in re.split(r"[,/()&–—;:|]| - |^\s*\*| in | of | for ", mend(value))]
-    return whole, list(dict.fromkeys([whole, fold_words(value), whole.replace(" ", ""), *(x for x in parts if len(x) >= 2)]))
+    parts = [whole, *(clean(x) for x in re.split(r"[,/()&–—;:|]| - |^\s*\*| in | of | for ", mend(value)))]
+    full = [spelled_out(p) for p in parts]
+    return whole, full[0], list(dict.fromkeys([whole, fold_words(value), whole.replace(" ", ""), *(x for x in [*parts, *full] if len(x) >= 2)]))
 
 
 def place_fold(text: str) -> str:
@@ -170,7 +162,6 @@ def place_fold(text: str) -> str:
     return " ".join(t.split())
 
 
-_TITLE_DECOR = re.compile(TITLE_DECOR)
 _PLAIN = str.maketrans(PLAIN_LETTERS)
 _WORDS = re.compile(r"[^\W_]+")
 _DOUBLES = (("ae", "a"), ("oe", "o"), ("ue", "u"), ("aa", "a"))
@@ -178,8 +169,8 @@ _COUNTRY = re.compile(" (?:" + "|".join(place_fold(c) for c in [*COUNTRY_NAMES.s
 _PLACE_DECOR = re.compile(PLACE_DECOR)
 
 
-def place_variants(value: str) -> tuple[str, list[str]]:
-    """(folded whole, readings) of a typed place: without country, number and decoration, and with long forms."""
+def place_variants(value: str) -> tuple[str, str, list[str]]:
+    """(folded whole, the same, readings) of a typed place: without country, number and decoration, and with long forms."""
 
     def strip(t: str) -> str:
         return _PLACE_DECOR.sub("", _COUNTRY.sub("", t)).strip()
@@ -188,18 +179,22 @@ def place_variants(value: str) -> tuple[str, list[str]]:
     bare = strip(strip(whole))
     long = [b + bare[len(a) :] for a, b in PLACE_FORMS if bare.startswith(a)]
     parts = [strip(place_fold(x)) for x in re.split(r"[,/()–—;:|]| - ", mend(value))]
-    return bare, list(dict.fromkeys([bare, whole, *long, *(x for x in parts if len(x) >= 4)]))
+    return bare, bare, list(dict.fromkeys([bare, whole, *long, *(x for x in parts if len(x) >= 4)]))
 
 
-def readings_of(distinct: DataFrame) -> DataFrame:
-    """(grp, value, folded, variants) of distinct (grp, value); groups that begin with t hold titles, others places."""
+def readings_of(distinct: DataFrame, entries: DataFrame) -> DataFrame:
+    """(grp, value, folded, full, variants) of distinct (grp, value); groups that begin with t hold titles, others places.
+
+    entries (grp, form) gives the words that titles of a group are made of.
+    """
+    words = entries.filter("grp like 't:%'").select("grp", F.explode(F.split("form", " ")).alias("w")).filter(F.length("w") > 3).groupBy("grp").agg(F.array_sort(F.collect_set("w")).alias("words"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            both = [(title_variants if g.startswith("t") else place_variants)(v) for g, v in zip(b["grp"], b["value"], strict=True)]
-            yield pd.DataFrame({"grp": b["grp"], "value": b["value"], "folded": [x[0] for x in both], "variants": [x[1] for x in both]})
+            both = [title_variants(v, () if w is None else tuple(w)) if g.startswith("t") else place_variants(v) for g, v, w in zip(b["grp"], b["value"], b["words"], strict=True)]
+            yield pd.DataFrame({"grp": b["grp"], "value": b["value"], "folded": [x[0] for x in both], "full": [x[1] for x in both], "variants": [x[2] for x in both]})
 
-    return distinct.mapInPandas(run, "grp string, value string, folded string, variants array<string>")
+    return distinct.join(words, "grp", "left").select("grp", "value", "words").mapInPandas(run, "grp string, value string, folded string, full string, variants array<string>")
 
 
 def title_entries(titles: DataFrame, countries: DataFrame, forms: dict[str, str] = TITLE_FORMS) -> DataFrame:
@@ -214,14 +209,16 @@ def title_entries(titles: DataFrame, countries: DataFrame, forms: dict[str, str]
             for country, i, local, english in b[["country", "title_id", "title_local", "title_en"]].itertuples(index=False):
                 own = fold_words(local or "")
                 other = fold_words(re.sub(r"\([^)]*\)", "", english or ""))
-                rows += [((country or "").lower(), i, f) for f in {own, *forms.get(own, "").split("|"), "" if other.startswith("any ") else other} if f]
+                names = {own, "" if other.startswith("any ") else other}
+                initials = {"".join(w[0] for w in x.split() if w not in SMALL_WORDS) for x in names}
+                rows += [((country or "").lower(), i, f) for f in {*names, *forms.get(own, "").split("|"), *(x for x in initials if len(x) > 2 or len(x) == 2 and x not in ("dr", "mr", "ms"))} if f]
             yield pd.DataFrame(rows, columns=["grp", "canon_id", "form"])
 
     every = titles.mapInPandas(run, "grp string, canon_id bigint, form string")
     own = every.filter("grp <> 'xx'").withColumn("grp", F.concat(F.lit("t:"), "grp"))
-    # The countries are folded into one array beside each form: a few dozen names, whatever the number of rows.
-    groups = countries.agg(F.collect_set("grp").alias("grps"))
-    shared = every.filter("grp = 'xx'").select("canon_id", "form").join(F.broadcast(groups)).select(F.explode("grps").alias("grp"), "canon_id", "form")
+    # Each group of the values takes up the shared entries; both sides are keyed, so that neither is sent along whole.
+    shared = every.filter("grp = 'xx'").select(F.col("grp").alias("pool"), "canon_id", "form")
+    shared = countries.select("grp", F.lit("xx").alias("pool")).distinct().join(shared, "pool").select("grp", "canon_id", "form")
     return own.unionByName(shared).distinct()
 
 
@@ -241,7 +238,7 @@ TITLE_LIMITS = (0.4, 0.48)
 PLACE_LIMITS = (0.3, 0.4)
 
 
-def map_titles_and_places(roster: DataFrame, institutions: DataFrame, titles: DataFrame, cities: DataFrame) -> DataFrame:
+def map_titles_and_places(roster: DataFrame, institutions: DataFrame, titles: DataFrame, cities: DataFrame, forms: dict[str, str] = TITLE_FORMS) -> DataFrame:
     """(field_name, row_key, canon_id, score) for roster.title_verbatim and institutions' city_expected and ror_city.
 
     Non-blank values that are spelled exactly like an entry need no mapping and give no row; null and blank values give
@@ -258,7 +255,9 @@ def map_titles_and_places(roster: DataFrame, institutions: DataFrame, titles: Da
     full = F.length(F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)\s+", "")) > 0
     typed = people.filter(full).join(exact_title, "value", "left_anti").unionByName(places.filter(full).join(exact_place, ["grp", "value"], "left_anti"))
     typed = cut(typed)
-    values = cut(readings_of(typed.select("grp", "value").distinct()))
-    entries = cut(title_entries(titles, typed.filter("grp like 't:%'").select("grp").distinct()).unionByName(place_entries(cities)))
-    mapped = map_values(values, entries, min(TITLE_LIMITS[0], PLACE_LIMITS[0]), TITLE_LIMITS[1], PLACE_LIMITS[1])
+    entries = cut(title_entries(titles, typed.filter("grp like 't:%'").select("grp").distinct(), forms).unionByName(place_entries(cities)))
+    values = cut(readings_of(typed.select("grp", "value").distinct(), entries))
+    kinds = [(lambda df, k=k: df.filter(F.col("grp").startswith(k)), limits) for k, limits in (("t:", TITLE_LIMITS), ("p:", PLACE_LIMITS))]
+    one, two = (map_values(own(values), own(entries), *limits) for own, limits in kinds)
+    mapped = one.unionByName(two)
     return typed.join(mapped, ["grp", "value"], "left").select("field_name", "row_key", F.coalesce("canon_id", F.lit(0)).cast("long").alias("canon_id"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -3,15 +3,13 @@
 Texts are counted once. For each capacity the longer ones give full pieces, which fill a container each, and a rest;
 rests and shorter texts are spread by hash over batches of a bounded number of windows, and each batch is divided by
 multiway differencing: partial partitions are merged, those of the largest spread first, with the largest parts of one
-on the smallest of the other, until one partition of near-equal windows is left. Where a window comes out above the
-capacity the window count rises: the overfull windows give up items, which go where they fit best, and what fits
-nowhere is divided again over added windows.
+on the smallest of the other, until one partition of near-equal windows is left. While windows come out above the
+capacity the window count rises: those that came out full are kept, and the rest is differenced again, over more windows.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,6 +21,10 @@ from rollcall.llm.tokens import VOCABULARY, count_tokens
 from rollcall.session import cut
 
 
+#: How full a window is, at least, that is kept when others of its batch exceed the capacity.
+FULL = 0.985
+
+
 def difference(sizes: Sequence[int], k: int) -> np.ndarray:
     """The window 0..k-1 of each item, by multiway differencing into k windows of near-equal sums.
 
@@ -77,45 +79,34 @@ def difference(sizes: Sequence[int], k: int) -> np.ndarray:
 
 
 def pack(sizes: Sequence[int], capacity: int) -> np.ndarray:
-    """The container of each item, none above capacity; every size must lie in 1..capacity."""
+    """The container of each item, none above capacity; every size must lie in 1..capacity.
+
+    The items are divided into as many windows as their sum needs at least. While a window exceeds the capacity the
+    count rises: windows that fit are kept, fullest first, as long as the rest, divided anew into one window more than
+    it needs, can take what is left over; so the division ends, and only the last windows have room.
+    """
     sizes = np.asarray(sizes, dtype=np.int64)
-    if not len(sizes):
-        return np.empty(0, dtype=np.int64)
-    k = int(-(-sizes.sum() // capacity))
-    out = difference(sizes, k)
-    total = np.bincount(out, weights=sizes, minlength=k).astype(np.int64)
-    if total.max() <= capacity:
-        return out
-    members: list[list[int]] = [[] for _ in range(k)]
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        members[out[i]].append(i)
-    # An overfull window gives up the smallest item that ends the excess, or its largest until one does.
-    loose: list[int] = []
-    room: list[tuple[int, int]] = []
-    for w in range(k):
-        free = capacity - int(total[w])
-        while free < 0:
-            enough = [i for i in members[w] if sizes[i] >= -free]
-            i = enough[-1] if enough else members[w][0]
-            members[w].remove(i)
-            loose.append(i)
-            free += int(sizes[i])
-        if free:
-            room.append((free, w))
-    room.sort()
-    loose.sort(key=lambda i: (-sizes[i], i))
-    rest: list[int] = []
-    for i in loose:
-        at = bisect_left(room, (int(sizes[i]), -1))
-        if at == len(room):
-            rest.append(i)
+    out = np.empty(len(sizes), dtype=np.int64)
+    todo, base, more = np.arange(len(sizes)), 0, 0
+    while len(todo):
+        own = sizes[todo]
+        k = min(len(todo), int(-(-own.sum() // capacity)) + more)
+        window = difference(own, k)
+        total = np.bincount(window, weights=own, minlength=k).astype(np.int64)
+        if total.max() <= capacity:
+            out[todo] = base + window
+            break
+        # Windows filled to a share that near-equal windows can't better are done; the others are divided again.
+        full = np.nonzero((total <= capacity) & (total >= FULL * capacity))[0]
+        if len(full) < max(1, k // 50):
+            more += max(1, k // 200)
             continue
-        free, w = room.pop(at)
-        out[i] = w
-        if free > sizes[i]:
-            insort(room, (free - int(sizes[i]), w))
-    if rest:
-        out[rest] = k + pack(sizes[rest], capacity)
+        place = np.full(k, -1)
+        place[full] = np.arange(len(full))
+        done = place[window] >= 0
+        out[todo[done]] = base + place[window[done]]
+        base += len(full)
+        todo, more = todo[~done], 0
     return out
 
 

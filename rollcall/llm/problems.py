@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.canonical import map_titles_and_places
 from rollcall.llm.linkage import link_candidates
-from rollcall.llm.mixing import mix_documents, mix_report
+from rollcall.llm.mixing import fit_mix, mix_documents, mix_report
 from rollcall.llm.packing import fill_report, pack_documents
 from rollcall.llm.persons import candidate_records, checked_records, person_records, town_names
 from rollcall.llm.sentences import split_sentences
 from rollcall.llm.variants import linked_variants
-from rollcall.session import table
+from rollcall.session import cut, table
 
 
 def p1_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,9 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The shares that the mix reaches."""
-    return mix_report(p7_mix(spark, d), table(spark, d, "mix_targets"))
+    """The shares that the mix reaches, by label and by posterior."""
+    targets = table(spark, d, "mix_targets")
+    return mix_report(cut(fit_mix(table(spark, d, "documents"), targets)), targets)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rollcall.llm.mixing import mix_documents, mix_report
+from rollcall.llm.mixing import fit_mix, mix_documents, mix_report
 from rollcall.llm.packing import difference, fill_report, pack, pack_documents
 from rollcall.llm.tokens import VOCABULARY, token_ids
 
@@ -75,3 +75,21 @@ def test_shares_are_met_within_the_limits(spark):
     assert report["none"]["tokens"] == 0
     assert mix_documents(df.filter("false"), targets).count() == 0
     assert mix_documents(df, targets.filter("false")).count() == 0
+
+
+def test_the_window_count_rises_until_none_is_overfull():
+    sizes = np.clip(np.random.default_rng(1).lognormal(5, 1, 4000).astype(int), 1, 1024)
+    sums = np.bincount(pack(sizes, 1024), weights=sizes)
+    assert sums.max() <= 1024 and len(sums) <= 1.02 * -(-sizes.sum() // 1024) and len(set(pack([600] * 50, 1024))) == 50
+
+
+def test_the_fitted_rates_decide(spark):
+    rng = random.Random(2)
+    words = {"a": ["alpha", "beta"], "b": ["gamma", "delta"]}
+    # A fifth of each source is written like the other one.
+    rows = [(i, " ".join(rng.choice(words["ab"[(i + (i % 10 < 2)) % 2]]) for _ in range(40)), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 2)], "source string, target_share double, max_repeats int")
+    fitted, flat = (mix_report(fit_mix(df, targets, sample=100, steps=s), targets).collect() for s in (24, 0))
+    off = lambda rows, c: max(abs(r[c] - r["target_share"]) for r in rows)
+    assert off(flat, "fitted_share") > 0.05 and all(off(fitted, c) < off(flat, c) / 3 for c in ("fitted_share", "expected_share")) and off(fitted, "actual_share") < 0.02
