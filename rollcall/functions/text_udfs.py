@@ -1,4 +1,4 @@
-"""The few text functions without a built-in, in Arrow batches."""
+"""The few text functions without a built-in, in Arrow batches, and what rests on them."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.functions.names import GENERIC_WORDS, SMALL_WORDS
-
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -19,25 +18,28 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-_STOP = frozenset((GENERIC_WORDS + " " + SMALL_WORDS).split())
-
+# Words that stand in most names of institutions and tell nothing.
+TELL_NOTHING = (
+    "university universite universitat universita universidad universiteit universitet universitetet uniwersytet univerzita egyetem panepistimio "
+    "institute institut instituto istituto school schule hochschule college centre center centro zentrum research forschung recherche "
+    "de of the and et und di der des fur for science sciences technology technologie tecnologia polytechnic national"
+)
 
-def agrees(wanted: str, found: str, city: str, least: float = 0.65) -> bool:
-    """Two folded institution names share an identifying word, or a prefix of six, or one holds the other, or they are
-    similar as wholes; the words of the city don't identify."""
-    if not found:
-        return False
-    stop = _STOP | set(city.split())
-    a, b = ({t for t in x.split() if len(t) > 2 and t not in stop} for x in (wanted, found))
-    if a & b or {x[:6] for x in a if len(x) > 5} & {x[:6] for x in b if len(x) > 5}:
-        return True
-    return found in wanted or difflib.SequenceMatcher(None, wanted, found).ratio() >= least
 
+def name_agrees(wanted: Column, found: Column, city: Column, least: float = 0.65) -> Column:
+    """Whether two folded institution names are of one institution; null counts as '', and an empty found never is.
 
-@F.pandas_udf(T.BooleanType())
-def name_agrees(wanted: pd.Series, found: pd.Series, city: pd.Series) -> pd.Series:
-    """`agrees` on columns of folded names; null counts as ''."""
-    return pd.Series([agrees(x or "", y or "", z or "") for x, y, z in zip(wanted, found, city, strict=True)])
+    They are if they have a telling word in common, or telling words of six letters and more that begin alike, or if
+    the first holds the second, or if they are similar as wholes. The words of the city tell nothing.
+    """
+    wanted, found, city = (F.coalesce(c, F.lit("")) for c in (wanted, found, city))
+    dull = F.array_union(F.split(F.lit(TELL_NOTHING), " "), F.split(city, " "))
+    words = lambda c: F.filter(F.array_except(F.split(c, " "), dull), lambda w: F.length(w) > 2)
+    heads = lambda c: F.transform(F.filter(words(c), lambda w: F.length(w) > 5), lambda w: F.substring(w, 1, 6))
+    plain = F.arrays_overlap(words(wanted), words(found)) | F.arrays_overlap(heads(wanted), heads(found)) | F.contains(wanted, found)
+    # Where the words decide nothing is left to compare: the texts go to Python empty.
+    left = lambda c: F.when(~plain, c)
+    return (found != "") & (plain | (sequence_ratio(left(wanted), left(found)) >= least))
 
 
 def common_length(a: str, b: str) -> int:

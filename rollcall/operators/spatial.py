@@ -2,8 +2,9 @@
 
 Radius join: a bounded sample of the locations gives pivots; each location belongs to the Voronoi cell of its nearest
 pivot and is copied to every other cell whose pivot is at most 2 r farther away than its own, which by the triangle
-inequality covers all partners within r. In a cell a vantage-point tree with the great-circle metric answers the
-queries of the cell's own locations. A cell that holds too many of them is worked off as pairs of blocks.
+inequality covers all partners within r. A cell that holds too many locations is parted again, by pivots of its own, in
+the same way, so that cells stay small however large the table. In a cell a vantage-point tree with the great-circle
+metric answers the queries of the cell's own locations. What is too crowded even then is worked off as pairs of blocks.
 
 Containment: zones are cut into bands of latitude and longitude, each with the edges that a ray in the band can
 cross; points meet them by an equi-join, and a crossing count decides, all in column expressions.
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.session import cut
+from rollcall.session import cut, ship
 
 EARTH_M = 6_371_008.8
 
@@ -99,17 +100,58 @@ class VantageTree:
 
 
 def pick_pivots(locs: DataFrame, n: int, r: float) -> np.ndarray:
-    """At most n pivots [lat, lon], from a hashed sample of 4 n locations; those within 8 r of an earlier one are left
+    """At most n pivots as unit vectors, from a hashed sample of 4 n locations; those within 8 r of an earlier one are left
     out, so that a crowd narrower than the radius isn't copied into many cells."""
-    rows = locs.select("lat", "lon").orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(4 * n).collect()
-    picked: list[list[float]] = []
-    vectors = np.empty((0, 3))
-    for row in rows:
-        v = unit(np.array([row["lat"]]), np.array([row["lon"]]))
-        if len(picked) < n and (not len(vectors) or arc(vectors, v).min() > 8 * r):
-            picked.append([row["lat"], row["lon"]])
-            vectors = np.vstack([vectors, v])
-    return np.array(picked).reshape(-1, 2)
+    rows = locs.select("lat", "lon").orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(4 * n).toPandas()
+    return spread_out(unit(rows["lat"].to_numpy(), rows["lon"].to_numpy()), n, r)
+
+
+def spread_out(vectors: np.ndarray, n: int, r: float) -> np.ndarray:
+    """At most n of the vectors, in their order, without those within 8 r of an earlier one."""
+    picked = np.empty((0, 3))
+    for v in vectors:
+        if len(picked) < n and (not len(picked) or arc(picked, v).min() > 8 * r):
+            picked = np.vstack([picked, v])
+    return picked
+
+
+def nearest_cells(v: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, cell, home): of each point its nearest centre, and the others at most reach metres farther away.
+
+    Many centres are parted by leaders, a square root of them, each with the centres nearest to it; a leader is passed over
+    for the points that can have no such centre with it, by the triangle inequality.
+    """
+    n, m = len(v), len(centres)
+    apart = lambda a, b: EARTH_M * np.arccos(np.clip(a @ b.T, -1, 1))
+    if m <= 64:
+        d = apart(v, centres)
+        home = d.argmin(axis=1)
+        best = d[np.arange(n), home]
+        # Distances by dot product are coarse for short arcs; one metre of slack makes up for it.
+        i, j = np.nonzero(d <= (best + reach + 1.0 + best * 1e-7)[:, None])
+        return i, j, home[i] == j
+    lead = centres[:: max(1, math.isqrt(m))]
+    to = apart(centres, lead)
+    own = to.argmin(axis=1)
+    radius = np.array([to[own == g, g].max(initial=0.0) for g in range(len(lead))])
+    far = apart(v, lead)
+    limit = far.min(axis=1) + reach + 3.0  # a leader is itself a centre, so none farther than this counts
+    near = [], [], []
+    for g in range(len(lead)):
+        rows = np.nonzero(far[:, g] - radius[g] <= limit * (1 + 1e-7))[0]
+        cols = np.nonzero(own == g)[0]
+        if len(rows) and len(cols):
+            d = apart(v[rows], centres[cols])
+            a, b = np.nonzero(d <= (limit[rows] * (1 + 1e-7))[:, None])
+            for out, x in zip(near, (rows[a], cols[b], d[a, b]), strict=True):
+                out.append(x)
+    i, j, d = (np.concatenate(x) for x in near)
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.r_[True, i[1:] != i[:-1]]
+    best = d[first][np.cumsum(first) - 1]
+    keep = d <= best + reach + 1.0 + best * 1e-7
+    return i[keep], j[keep], first[keep]
 
 
 def radius_pairs(
@@ -121,21 +163,23 @@ def radius_pairs(
     cell_size: int = 2_000,
     max_pivots: int = 2_048,
     block: int = 6_000,
+    max_inner: int = 1_000_000,
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of usable points at most metres apart on the sphere, each once.
 
     Points without usable coordinates take part in no pair; repeated ids on one row set are kept as one; an empty
     table gives no rows. Points at exactly one place are worked off as one location and expanded at the end. Other
-    columns are ignored. max_pivots bounds what is broadcast; cells beyond block locations are split into blocks, so no
-    task holds an unbounded cell.
+    columns are ignored. max_pivots bounds the pivots of the first level, max_inner those of all cells of the second,
+    about one for cell_size locations; together they bound what is sent along, at 24 bytes each. What is still beyond block
+    locations is split into blocks, so no task holds an unbounded cell.
     """
     pts = points.select(F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
     # -0.0 and 0.0, and the two names of the date line, are one place.
     pts = pts.filter(usable(F.col("lat"), F.col("lon"))).withColumns({"lat": F.col("lat") + 0.0, "lon": F.when(F.col("lon") == -180, 180.0).otherwise(F.col("lon") + 0.0)}).dropDuplicates(["id"])
+    ship(points.sparkSession)
     locs = pts.groupBy("lat", "lon").agg(F.min("id").alias("loc"))
     n = locs.count()
-    pivots = pick_pivots(locs, max(1, min(max_pivots, math.ceil(n / cell_size))), metres)
-    centres = unit(pivots[:, 0], pivots[:, 1])
+    centres = pick_pivots(locs, max(1, min(max_pivots, math.ceil(n / cell_size))), metres)
     reach = 2 * metres + 1e-3
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,15 +187,36 @@ def radius_pairs(
             for s in range(0, len(whole), 2_000):
                 b = whole.iloc[s : s + 2_000]
                 v = unit(b["lat"].to_numpy(), b["lon"].to_numpy())
-                # Distances by dot product are coarse for short arcs; one metre of slack makes up for it.
-                d = EARTH_M * np.arccos(np.clip(v @ centres.T, -1, 1))
-                home = d.argmin(axis=1)
-                best = d[np.arange(len(b)), home]
-                i, j = np.nonzero(d <= (best + reach + 1.0 + best * 1e-7)[:, None])
-                yield pd.DataFrame({"cell": j.astype("int32"), "home": home[i] == j, "loc": b["loc"].to_numpy()[i], "lat": b["lat"].to_numpy()[i], "lon": b["lon"].to_numpy()[i]})
+                i, j, home = nearest_cells(v, centres, reach)
+                yield pd.DataFrame({"cell": j.astype("int64"), "home": home, "loc": b["loc"].to_numpy()[i], "lat": b["lat"].to_numpy()[i], "lon": b["lon"].to_numpy()[i]})
 
     kind = dict(pts.dtypes)["id"]
-    cells = cut(locs.mapInPandas(assign, f"cell int, home boolean, loc {kind}, lat double, lon double"))
+    shape = f"cell long, home boolean, loc {kind}, lat double, lon double"
+    cells = cut(locs.mapInPandas(assign, shape))
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    asked_for = {r["cell"]: r["n"] for r in crowded.collect()} if n > block else {}
+    if asked_for:
+        rate = min(1.0, 4 / cell_size, 4 * max_inner / n)
+        drawn = cells.join(crowded.select("cell"), "cell").filter(F.col("home") & (F.pmod(F.xxhash64("lat", "lon", F.lit(5)), F.lit(1 << 20)) < rate * (1 << 20)))
+        inner: dict[int, np.ndarray] = {}
+        for c, part in drawn.select("cell", "lat", "lon").toPandas().groupby("cell"):
+            inner[int(c)] = spread_out(unit(part["lat"].to_numpy(), part["lon"].to_numpy()), max(1, len(part) // 4), metres)
+
+        def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for c, b in whole.groupby("cell", sort=False):
+                    own = inner.get(int(c))
+                    if own is None or len(own) < 2:
+                        yield b
+                        continue
+                    for s in range(0, len(b), 2_000):
+                        p = b.iloc[s : s + 2_000]
+                        i, j, home = nearest_cells(unit(p["lat"].to_numpy(), p["lon"].to_numpy()), own, reach)
+                        q = p.iloc[i]
+                        # A location asks where it is at home on both levels.
+                        yield q.assign(cell=max_pivots + int(c) * (1 << 24) + j, home=q["home"].to_numpy() & home)
+
+        cells = cut(cells.mapInPandas(again, shape))
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     cells = cells.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("loc"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -200,8 +265,8 @@ def points_in_zones(points: DataFrame, key: str, lat: str, lon: str, zones: Data
     band is the width in degrees of the cells by which points and zones meet.
     """
     rings = zone_edges(zones, zone_key, wkt).select("zone", F.explode("edges").alias("e"))
-    edges = rings.select("zone", "e", F.least("e.y1", "e.y2").alias("lo"), F.greatest("e.y1", "e.y2").alias("hi"))
-    width = edges.groupBy("zone").agg(F.min(F.least("e.x1", "e.x2")).alias("x_lo"), F.max(F.greatest("e.x1", "e.x2")).alias("x_hi"))
+    edges = rings.select("zone", "e", F.greatest(F.lit(-90.0), F.least("e.y1", "e.y2")).alias("lo"), F.least(F.lit(90.0), F.greatest("e.y1", "e.y2")).alias("hi")).filter("lo <= hi")
+    width = edges.groupBy("zone").agg(F.greatest(F.lit(-180.0), F.min(F.least("e.x1", "e.x2"))).alias("x_lo"), F.least(F.lit(180.0), F.max(F.greatest("e.x1", "e.x2"))).alias("x_hi")).filter("x_lo <= x_hi")
     at = lambda c: F.floor(c / band).cast("int")
     banded = edges.select("zone", "e", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))).alias("by")).groupBy("zone", "by").agg(F.collect_list("e").alias("edges"))
     cells = banded.join(width, "zone").select("zone", "by", "edges", "x_lo", "x_hi", F.explode(F.sequence(at(F.col("x_lo")), at(F.col("x_hi")))).alias("bx"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import names as N
 from rollcall.functions.geo import haversine
-from rollcall.functions.text_udfs import best_partners, name_agrees
+from rollcall.functions.text_udfs import best_partners, name_agrees, sequence_ratio
 from rollcall.plans.registry import Registry
 from rollcall.plans.relational import title_rules
 from rollcall.plans.scalars import _sql_plain
@@ -89,6 +89,37 @@ def institution_pick(spark: SparkSession, d: str) -> DataFrame:
     return pick_institutions(table(spark, d, "candidates_csrankings").select("cand_id", "affiliation", "country", "homepage"), table(spark, d, "institutions_geocoded").select("inst_key", "name", "country", "homepage"))
 
 
+def settle_institutions(i: DataFrame) -> DataFrame:
+    """(inst_key, status, city_note) of matched institutions (inst_key, inst_id, country, city_expected, ror_id,
+    ror_country, ror_city, lat, similarity, domain_match, coords_from).
+
+    no_match without a record; auto if the country is the expected one, the name is similar or the domain fits, and the
+    city isn't an unrelated one; else needs_review. A row that borrows coordinates is anchored, unless auto, if the row
+    it names has some; else it needs review. Null texts count as ''.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    asked, got = N.fold_plain(text("city_expected")), N.fold_plain(text("ror_city"))
+    i = i.withColumns({"asked": asked, "got": got, "found": text("ror_id") != ""})
+    named = (F.col("asked") == "") | F.contains(F.col("got"), F.substring("asked", 1, 5))
+    i = i.withColumn("named", named).withColumn("alike", F.when(F.col("named"), 1.0).otherwise(sequence_ratio(F.when(~F.col("named"), F.col("asked")), F.when(~F.col("named"), F.col("got")))))
+    fits = (F.lower(text("ror_country")) == F.lower(text("country"))) & ((F.coalesce("similarity", F.lit(0.0)) >= 0.75) | F.coalesce("domain_match", F.lit(False)))
+    first = F.when(~F.col("found"), "no_match").when(fits & (F.col("alike") >= 0.45), "auto").otherwise("needs_review")
+    note = F.when(F.col("found") & ~F.col("named"), F.concat(F.lit("expected "), text("city_expected"), F.lit(", found "), text("ror_city"), F.when(F.col("alike") < 0.45, " (unrelated)").otherwise("")))
+    i = i.withColumns({"first": first, "note": F.coalesce(note, F.lit(""))})
+    source = i.filter("inst_id is not null and lat is not null").select(F.col("inst_id").alias("coords_from")).distinct().withColumn("lends", F.lit(True))
+    i = i.join(source, "coords_from", "left")
+    borrowed = F.when(text("coords_from") == "", F.col("first")).when(F.col("lends"), F.when(F.col("first") == "auto", "auto").otherwise("anchored")).otherwise("needs_review")
+    return i.select("inst_key", borrowed.alias("status"), F.col("note").alias("city_note"))
+
+
+@query()
+def institution_status(spark: SparkSession, d: str) -> DataFrame:
+    """How far each institution's match holds. The table has one country, which stands for that of the match; no SQL
+    equivalent for the similarity."""
+    i = table(spark, d, "institutions_geocoded")
+    return settle_institutions(i.select("inst_key", "inst_id", "country", "city_expected", "ror_id", F.col("country").alias("ror_country"), "ror_city", "lat", "similarity", "domain_match", "coords_from"))
+
+
 @query()
 def geocode_pick(spark: SparkSession, d: str) -> DataFrame:
     """The nearest agreeing answer of the first stage that has one, within 30 km of the city; else the city itself."""

@@ -27,6 +27,11 @@ SELECT * FROM near UNION ALL SELECT * FROM held
 _QUOTED = '"(?:[^"]|"")*"'
 
 
+_NAMES = "basis confidence counted_city current_institution current_title_verbatim evidence_url in_city independent moved_to_city name notes primary_city still_there".split()
+_COLUMNS = ", ".join(f"v[list_position(names, '{c}')] AS {c}" for c in _NAMES)
+_TRIM = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
 def _whole(d: str) -> str:
     field = f'(?:{_QUOTED}|[^"{d}]*)'
     return f"^{field}(?:{d}{field})*$"
@@ -45,8 +50,7 @@ plain AS (
   SELECT *, CASE WHEN NOT quotes_ok THEN 'quoting' WHEN len(f) <> len(names) THEN 'column_count' END AS shape,
          list_transform(f, lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM shaped),
 named AS (
-  SELECT raw_id, shape, v[list_position(names, 'name')] AS name, v[list_position(names, 'confidence')] AS confidence,
-         v[list_position(names, 'evidence_url')] AS evidence_url FROM plain),
+  SELECT raw_id, shape, {_COLUMNS} FROM plain),
 tried AS (
   SELECT *, lower(trim(confidence)) NOT IN ('high', 'medium', 'low', '') AS bad_c,
          trim(evidence_url) <> '' AND NOT regexp_full_match(trim(evidence_url), '(?i)https?://[^\\s/?#:]*[^\\s/?#:.]\\.[^\\s/?#:.][^\\s/?#:]*(:\\d*)?([/?#]\\S*)?') AS bad_u
@@ -59,8 +63,9 @@ UNION ALL SELECT raw_id, 'bad_confidence' FROM tried WHERE shape IS NULL AND bad
 UNION ALL SELECT raw_id, 'bad_evidence_url' FROM tried WHERE shape IS NULL AND bad_u
 """
 
-P3_LOADED = _PARSED + """
-SELECT raw_id, name, lower(trim(confidence)) AS confidence, trim(evidence_url) AS evidence_url FROM tried WHERE shape IS NULL AND NOT bad_c AND NOT bad_u
+_LOADED = {"confidence": f"lower({_TRIM.format('confidence')}) AS confidence", "evidence_url": f"{_TRIM.format('evidence_url')} AS evidence_url"}
+P3_LOADED = _PARSED + f"""
+SELECT raw_id, {", ".join(_LOADED.get(c, c) for c in _NAMES)} FROM tried WHERE shape IS NULL AND NOT bad_c AND NOT bad_u
 """
 
 SQL = {"p2_found": P2, "p3_found": P3, "p3_loaded": P3_LOADED}

@@ -196,10 +196,11 @@ m AS (SELECT paper_key, venue_abbrev, layer, row_number() OVER (PARTITION BY pap
 SELECT paper_key, venue_abbrev, layer FROM m WHERE r = 1
 """)
 def join_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """The longest prefix wins: every prefix length in use becomes an equi-join key, so no pair is tried in vain."""
+    """The longest prefix wins: every prefix length in use becomes an equi-join key, so no pair is tried in vain; there
+    are at most as many lengths as the longest prefix has letters."""
     keys = table(spark, d, "authorships").select("paper_key").filter("paper_key is not null").distinct()
     v = table(spark, d, "venue_dblp_keys")
-    lengths = [r[0] for r in v.select(F.length("dblp_prefix").alias("n")).distinct().limit(200).collect()]
+    lengths = [r[0] for r in v.select(F.length("dblp_prefix").alias("n")).distinct().collect()]
     cut = keys.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).withColumn("dblp_prefix", F.substring("paper_key", F.lit(1), F.col("n"))).filter(F.length("dblp_prefix") == F.col("n"))
     return cut.join(v, "dblp_prefix").groupBy("paper_key").agg(F.max_by(F.struct("venue_abbrev", "layer"), F.struct("n", "dblp_prefix")).alias("m")).select("paper_key", "m.*")
 

@@ -59,35 +59,28 @@ def shards_back(spark: SparkSession, candidates: DataFrame, shards: list[str]) -
     return files.read_shards(spark, root, shards, ["cand_id", "initial"]).select("shard", F.col("cand_id").cast("long").alias("cand_id"))
 
 
-@query("SELECT lower(left(name, 1)) AS shard, cand_id FROM candidates_csrankings WHERE lower(left(name, 1)) BETWEEN 'a' AND 'k'")
-def scan_sharded(spark: SparkSession, d: str) -> DataFrame:
-    """The shards of the letters its SQL names, of which some are missing; scan_sharded_all reads every one."""
-    return shards_back(spark, table(spark, d, "candidates_csrankings"), list("abcdefghijk"))
-
-
 @query("SELECT CASE WHEN lower(left(name, 1)) BETWEEN 'a' AND 'z' THEN lower(left(name, 1)) ELSE 'other' END AS shard, cand_id FROM candidates_csrankings")
-def scan_sharded_all(spark: SparkSession, d: str) -> DataFrame:
-    """Shards by letter and one of other, blank and missing initials; only those are missing that no name begins with."""
-    return shards_back(spark, table(spark, d, "candidates_csrankings"), [*ascii_lowercase, "other"])
+def scan_sharded(spark: SparkSession, d: str) -> DataFrame:
+    """Shards by letter and one of other, blank and missing initials; those are missing that no name begins with, and one
+    that is asked for and never written."""
+    return shards_back(spark, table(spark, d, "candidates_csrankings"), [*ascii_lowercase, "other", "never-written"])
 
 
-@query("SELECT run, inst_id, check_id, coalesce(site, '') AS site FROM roster_checked")
+@query("""SELECT run, inst_id, check_id, CASE WHEN run > (SELECT min(run) FROM roster_checked) THEN coalesce(site, '') ELSE '' END AS site FROM roster_checked""")
 def scan_path_partition(spark: SparkSession, d: str) -> DataFrame:
-    """The run comes from the path, and the files of the second run have a column more."""
+    """The run comes from the path; the files of later runs have a column more, which is empty for the first."""
     root, k = files.scratch(spark, "runs"), table(spark, d, "roster_checked")
-    runs = sorted(r[0] for r in k.select("run").distinct().limit(1_000).collect())
+    runs = sorted(r[0] for r in k.select("run").distinct().limit(1_001).collect())
+    if len(runs) > 1_000:
+        raise ValueError("more than 1,000 runs")
     paths = {}
     for i, run in enumerate(runs):
         columns = ["check_id", "inst_id"] + (["site"] if i else [])
         files.write_csv(_text(k.filter(F.col("run") == run), columns), f"{root}/{run}/roster.csv")
         paths[f"{root}/{run}/roster.csv"] = columns
-    if len(runs) < 2:
-        paths[f"{root}/{runs[0]}/roster.csv"].append("site")
     df = files.read_by_path(spark, paths, r"/([^/]+)/roster\.csv/", ["run"])
     site = F.col("site") if "site" in df.columns else F.lit(None).cast("string")
-    first = k.filter(F.col("run") == runs[0]).select("check_id", F.col("site").alias("known"))
-    out = df.select("run", "inst_id", F.col("check_id").cast("long").alias("check_id"), site.alias("site"))
-    return out.join(first, "check_id", "left").select("run", "inst_id", "check_id", F.coalesce("site", "known", F.lit("")).alias("site"))
+    return df.select("run", "inst_id", F.col("check_id").cast("long").alias("check_id"), F.coalesce(site, F.lit("")).alias("site"))
 
 
 _GEO = "doc_id bigint, lat string, lon string, address map<string,string>"
@@ -95,13 +88,14 @@ _GEO = "doc_id bigint, lat string, lon string, address map<string,string>"
 
 @query("SELECT site_id, cast(cast(lat AS VARCHAR) AS DOUBLE) AS lat, geocode_precision AS precision_found FROM institutions_geocoded_precise WHERE lat IS NOT NULL")
 def scan_json(spark: SparkSession, d: str) -> DataFrame:
-    """Nested documents with numbers as text and sparse maps."""
+    """Nested documents with numbers as text and sparse maps; malformed ones stand between them and are passed over."""
     path = files.scratch(spark, "json")
     p = table(spark, d, "institutions_geocoded_precise")
     doc = p.select(F.col("site_id").alias("doc_id"), F.col("lat").cast("string").alias("lat"), F.col("lon").cast("string").alias("lon"), F.create_map(F.lit("precision"), "geocode_precision").alias("address"))
-    doc.write.json(path)
+    lines = doc.select(F.to_json(F.struct(*doc.columns)).alias("value"))
+    lines.unionAll(doc.select(F.concat(F.lit('{"doc_id": '), F.col("doc_id"), F.lit(', "lat": "1.0", "address": {')).alias("value"))).write.text(path)
     back = spark.read.schema(_GEO + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return back.filter("lat is not null").select(F.col("doc_id").alias("site_id"), F.col("lat").cast("double").alias("lat"), F.try_element_at("address", F.lit("precision")).alias("precision_found"))
+    return back.filter("_corrupt_record is null and lat is not null").select(F.col("doc_id").alias("site_id"), F.col("lat").cast("double").alias("lat"), F.try_element_at("address", F.lit("precision")).alias("precision_found"))
 
 
 @query("SELECT event_id, event_type FROM events")

@@ -5,7 +5,8 @@ import difflib
 from pyspark.sql import functions as F
 
 from rollcall.functions import names as N
-from rollcall.plans.picks import _blocks, pick_institutions
+from rollcall.functions.text_udfs import name_agrees
+from rollcall.plans.picks import _blocks, pick_institutions, settle_institutions
 
 I_SCHEMA, C_SCHEMA = "inst_key long, name string, country string, homepage string", "cand_id long, affiliation string, country string, homepage string"
 
@@ -37,3 +38,24 @@ def test_blocks_of_any_size_give_the_same(spark, rows):
     left = words(spark.createDataFrame([(i, f"academy {i % 7} robotics", "de", None) for i in range(30)], "id long, text string, country string, host string"))
     right = words(spark.createDataFrame([(i, f"robotics {i % 5} academy", "de", None) for i in range(40)], "key long, text string, country string, host string"))
     assert rows(_blocks(left, right, "country", 4, 3)) == rows(_blocks(left, right, None)) and _blocks(left, right, None).count() == 30
+
+
+def test_status_of_matches(spark, rows):
+    i = spark.createDataFrame(
+        [
+            (1, "a", "de", "Tubingen", "r1", "de", "Tübingen", 1.0, 0.9, False, None), (2, "b", "de", "Tubingen", "r2", "de", "Munich", 1.0, 0.9, True, ""), (3, "c", "it", "Torino", "r3", "it", "Turin", 1.0, 0.8, False, ""),
+            (4, "d", "it", None, "r4", "fr", "Nice", 1.0, 0.9, True, ""), (5, "e", "it", "", None, None, None, None, None, None, "a"), (6, "f", "it", "", "", "", "", None, None, None, ""), (7, "g", "it", "Bari", "r7", "it", "Bari", None, 0.2, False, "nowhere"), (8, "h", "it", "Bari", "r8", "it", "Bari", 2.0, 0.2, True, "a"),
+        ],
+        "inst_key long, inst_id string, country string, city_expected string, ror_id string, ror_country string, ror_city string, lat double, similarity double, domain_match boolean, coords_from string",
+    )
+    assert rows(settle_institutions(i)) == [
+        (1, "auto", ""), (2, "needs_review", "expected Tubingen, found Munich (unrelated)"), (3, "auto", "expected Torino, found Turin"), (4, "needs_review", ""), (5, "anchored", ""), (6, "no_match", ""), (7, "needs_review", ""), (8, "auto", ""),
+    ]
+    assert rows(settle_institutions(i.filter("false"))) == []
+
+
+def test_names_agree_by_words_heads_holding_and_likeness(spark):
+    cases = [("technische universitat ortell", "ortell technical college", "ortell", True), ("university of zurich", "ph zurich", "zurich", False), ("university of tubingen", "universitat tubingen", "tubingen", True), ("norvale research lab", "norvale", "", True), ("norvale", "", "", False), (None, None, None, False), ("mit", "massachusetts", None, False)]
+    df = spark.createDataFrame(cases, "a string, b string, c string, want boolean")
+    got = df.select(name_agrees(F.col("a"), F.col("b"), F.col("c")).alias("x"), "want").collect()
+    assert [r["x"] for r in got] == [r["want"] for r in got]
