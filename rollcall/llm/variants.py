@@ -13,7 +13,6 @@ is hot; no group is gathered in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,34 +49,30 @@ def _classes(words: DataFrame) -> DataFrame:
 
 
 def name_entries(names: DataFrame) -> DataFrame:
-    """(n, h, asks) of distinct names (n): what each is indexed under, and what it asks for.
+    """(n, h, asks) of distinct names (n): what each is indexed under.
 
-    A name is indexed under the classes of each two of its tokens and of a token with the initial of another. It asks
-    for the same with slips, and for token and initial only where it has no more than an initial or a cut token.
+    A name is indexed under the classes of each two of its tokens, with slips, and of a token with the initial of
+    another; asks tells that a meeting there counts whatever the other side: not under an initial, unless the name has no
+    more than it or a cut token. Of two tokens a slip apart the rarer stands for the commoner too, so that a common
+    token, however often it is misspelled, is indexed under few.
     """
     each = names.select("n", F.posexplode(F.split(F.substring_index("n", "|", 1), " ")).alias("i", "t"))
     each = each.withColumn("word", F.rtrim("t", F.lit(".")))
-    words = each.select("word").distinct()
-    near = slips(words, SLIP)
-    own = _classes(words)
-    wide = near.select("word", F.explode("others").alias("o")).join(own.select(F.col("word").alias("o"), "own"), "o").groupBy("word").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("wide"))
-    entry = cut(own.join(wide, "word", "left").select("word", "own", F.array_union("own", F.coalesce("wide", F.array().cast("array<string>"))).alias("wide")))
-    token = F.struct("i", "word", ((F.length("word") == 1) | (F.col("t") != F.col("word"))).alias("cut"), "own", "wide")
+    words = cut(each.groupBy("word").agg(F.count("*").alias("seen")))
+    own = _classes(words.select("word"))
+    near = slips(words, SLIP).select("word", F.explode("others").alias("o")).join(words, "word").join(words.select(F.col("word").alias("o"), F.col("seen").alias("more")), "o")
+    near = near.filter(F.struct("more", "o") > F.struct("seen", "word")).select("word", "o")
+    up = near.join(own.withColumnRenamed("word", "o"), "o").groupBy("word").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("up"))
+    entry = cut(own.join(up, "word", "left").select("word", F.array_union("own", F.coalesce("up", F.array().cast("array<string>"))).alias("of")))
+    token = F.struct("i", "word", ((F.length("word") == 1) | (F.col("t") != F.col("word"))).alias("cut"), "of")
     whole = cut(each.join(entry, "word").groupBy("n").agg(F.collect_list(token).alias("ts")))
-    single = whole.filter(F.size("ts") == 1).select("n", F.xxhash64(F.lit("1"), F.col("ts")[0]["word"]).alias("h"))
+    single = whole.filter(F.size("ts") == 1).select("n", F.xxhash64(F.lit("1"), F.col("ts")[0]["word"]).alias("h"), F.lit(True).alias("asks"))
     two = whole.select("n", "ts", F.explode("ts").alias("a")).select("n", "a", F.explode(F.filter("ts", lambda t: t.i != F.col("a.i"))).alias("b"))
-    full = two.filter("a.i < b.i and length(a.word) > 1 and length(b.word) > 1")
-    part = two.filter(f"length(a.word) >= {SLIP}")
-
-    def met(x: str) -> Column:
-        return F.explode(F.flatten(F.transform(F.col(f"a.{x}"), lambda p: F.transform(F.col(f"b.{x}"), lambda q: F.xxhash64(F.lit("="), F.least(p, q), F.greatest(p, q))))))
-
-    def initial(x: str) -> Column:
-        return F.explode(F.transform(F.col(f"a.{x}"), lambda p: F.xxhash64(F.lit("^"), p, F.substring("b.word", 1, 1))))
-
-    shown = single.unionAll(full.select("n", met("own").alias("h"))).unionAll(part.select("n", initial("own").alias("h")))
-    asked = single.unionAll(full.select("n", met("wide").alias("h"))).unionAll(part.filter("b.cut").select("n", initial("wide").alias("h")))
-    return shown.distinct().withColumn("asks", F.lit(False)).unionAll(asked.distinct().withColumn("asks", F.lit(True)))
+    met = F.flatten(F.transform(F.col("a.of"), lambda p: F.transform(F.col("b.of"), lambda q: F.xxhash64(F.lit("="), F.least(p, q), F.greatest(p, q)))))
+    full = two.filter("a.i < b.i and length(a.word) > 1 and length(b.word) > 1").select("n", F.explode(F.array_distinct(met)).alias("h"), F.lit(True).alias("asks"))
+    initial = F.transform(F.col("a.of"), lambda p: F.xxhash64(F.lit("^"), p, F.substring("b.word", 1, 1)))
+    part = two.filter(f"length(a.word) >= {SLIP}").select("n", F.explode(initial).alias("h"), F.col("b.cut").alias("asks"))
+    return single.unionAll(full).unionAll(part)
 
 
 def name_pairs(names: DataFrame) -> DataFrame:
@@ -88,10 +83,11 @@ def name_pairs(names: DataFrame) -> DataFrame:
     """
     entries = cut(name_entries(names))
     x = entries.filter("asks").select("h", F.col("n").alias("x"))
-    y = entries.filter("not asks").select("h", F.col("n").alias("y"))
+    y = entries.select("h", F.col("n").alias("y"), "asks")
     number = lambda c: F.substring_index(c, "|", -1)
     fits = (number("x") == "") | (number("y") == "") | (number("x") == number("y"))
-    met = x.join(y, "h").filter(fits & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    once = (F.col("x") < F.col("y")) | ~F.col("asks") & (F.col("x") != F.col("y"))  # of two that ask one suffices
+    met = x.join(y, "h").filter(once & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     met = met.unionAll(names.select(F.col("n").alias("x"), F.col("n").alias("y")))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,10 +104,9 @@ def name_pairs(names: DataFrame) -> DataFrame:
 def _shown(places: str) -> Column:
     """What a record shows besides a name, as keys: place words, parts of an identifier, the homepage.
 
-    An identifier of four blocks shows each two of them, so that identifiers with up to two wrong signs meet.
+    An identifier shows three parts, one of which two wrong signs leave as it is.
     """
-    blocks = [F.substring("orcid", 1 + 4 * k, 4) for k in range(4)]
-    parts = F.when(F.col("orcid") != "", F.array(*[F.concat(F.lit(f"#{i}{j}"), blocks[i], blocks[j]) for i, j in combinations(range(4), 2)]))
+    parts = F.when(F.col("orcid") != "", F.array(*[F.concat(F.lit(f"#{k}"), F.substring("orcid", 1 + 5 * k, 5 + k // 2)) for k in range(3)]))
     home = F.when((F.col("user") != "") & (F.col("host") != ""), F.array(F.concat_ws("/", F.lit("@"), "host", "user")))
     none = F.array().cast("array<string>")
     return F.concat(F.col(places), F.coalesce(parts, none), F.coalesce(home, none))
@@ -151,10 +146,14 @@ def likely_pairs(features: DataFrame) -> DataFrame:
     have it.
     """
     named = cut(features.select("key", "kind", F.explode("names").alias("n"), _shown("places").alias("e"), _shown("around").alias("f")))
-    pairs = cut(name_pairs(named.select("n").distinct()))
+    names = named.groupBy("n").agg((F.count("*") > 1).alias("several"))
+    # A name of one record that goes with no other has nothing to meet.
+    pairs = name_pairs(names.select("n")).join(names.withColumnRenamed("n", "x"), "x").filter("x <> y or several").drop("several")
+    pairs = cut(pairs)
+    partners = pairs.select(F.col("y").alias("n")).distinct()
     own = F.when(F.substring_index("n", "|", -1) != "", F.array(F.concat(F.lit("n"), F.substring_index("n", "|", -1)))).otherwise(F.array().cast("array<string>"))
     one = named.select(F.col("n").alias("x"), F.col("key").alias("a"), F.explode(F.concat("e", own)).alias("e")).join(pairs, "x").select(F.xxhash64("y", "e").alias("h"), "a", *SCORE)
-    two = named.select(F.explode(F.transform(F.array_distinct(F.concat("f", own)), lambda e: F.xxhash64("n", e))).alias("h"), F.col("key").alias("b"))
+    two = named.join(partners, "n", "left_semi").select(F.explode(F.transform(F.array_distinct(F.concat("f", own)), lambda e: F.xxhash64("n", e))).alias("h"), F.col("key").alias("b"))
     besides = one.join(two, "h").filter("a <> b").select("a", "b", *SCORE)
     persons = named.filter("kind = 'd'").select(F.col("n").alias("y"), F.col("key").alias("b"))
     direct = named.filter("kind <> 'd'").select(F.col("n").alias("x"), F.col("key").alias("a")).join(pairs, "x").join(persons, "y").select("a", "b", *SCORE)
