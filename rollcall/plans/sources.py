@@ -53,7 +53,8 @@ def sink_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def shards_back(spark: SparkSession, candidates: DataFrame, shards: list[str]) -> DataFrame:
     """(shard, cand_id) of candidates (cand_id, name), all written by initial, from the shards asked for."""
-    root, first = files.scratch(spark, "shards"), F.lower(F.substring("name", 1, 1))
+    # Spark writes a lower-case İ as two signs, i and a dot above; SQL as the i alone.
+    root, first = files.scratch(spark, "shards"), F.substring(F.lower(F.substring("name", 1, 1)), 1, 1)
     shard = F.when(first.isin(list(ascii_lowercase)), first).otherwise("other")
     files.write_shards(candidates.select(F.col("cand_id").cast("string").alias("cand_id"), shard.alias("initial")), root, F.col("initial"))
     return files.read_shards(spark, root, shards, ["cand_id", "initial"]).select("shard", F.col("cand_id").cast("long").alias("cand_id"))
