@@ -97,6 +97,13 @@ def check_records(
     return df.withColumn("errors", errors).drop("__source", "__delimiter", "__header", "fields", "n_expected", "shape_error")
 
 
+def header_columns(files: DataFrame) -> list[str]:
+    """The column names of all files, sorted; files as for `check_records`. Only names that differ reach the driver."""
+    delim = F.coalesce(F.nullif("delimiter", F.lit("")), F.lit(","))
+    names = F.split(F.replace(F.coalesce("header_text", F.lit("")), delim, F.lit(_SEP)), _SEP, -1)
+    return sorted(r["c"] for r in files.select(F.explode(names).alias("c")).filter("c <> ''").distinct().collect())
+
+
 def loaded_values(rows: DataFrame, columns: list[str], rules: Mapping[str, tuple[str, object]] = RULES, row: str = "row") -> DataFrame:
     """rows that load with each of `columns` as nullable text out of `row`, trimmed as its rule trims where one tests it.
 

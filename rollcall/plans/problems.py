@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.operators.bad_rows import check_records, loaded_values, split_rows
+from rollcall.operators.bad_rows import check_records, header_columns, loaded_values, split_rows
 from rollcall.operators.spatial import points_in_zones, radius_pairs
 from rollcall.session import table
 
@@ -31,10 +31,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     """Records that load, with every column of any file, trimmed where the rules trim."""
     files = table(spark, d, "rulings_files")
-    # The header table is a parameter of a few rows; its columns, sorted, are those of the result.
-    columns = sorted({c for r in files.select("header_text", "delimiter").limit(1_000).collect() for c in (r["header_text"] or "").split(r["delimiter"] or ",")} - {""})
     good = split_rows(check_records(table(spark, d, "rulings_raw"), files))[0].select("raw_id", "row")
-    return loaded_values(good, columns).withColumn("confidence", F.lower("confidence"))
+    return loaded_values(good, header_columns(files)).withColumn("confidence", F.lower("confidence"))
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from rollcall.operators.bad_rows import check_records, loaded_values, split_rows
+from rollcall.plans.problems import p3_loaded
 
 HEAD = "name,confidence,evidence_url"
 FILES = [("a.csv", ",", HEAD), ("t.csv", "\t", "name\tconfidence\tevidence_url")]
@@ -84,3 +85,12 @@ def test_unknown_source_long_text_and_empty_table(spark):
 def test_loaded_values_have_every_column_and_the_rules_trim(spark, rows):
     df = spark.createDataFrame([(1, {"name": " Ada ", "confidence": "\t\u00a0High\t", "evidence_url": ""}, "x"), (2, {"name": ""}, "y"), (3, None, None)], "id long, row map<string,string>, name string")
     assert rows(loaded_values(df, ["confidence", "name", "notes"])) == [(1, "High", " Ada ", None), (2, None, "", None), (3, None, None, None)]
+
+
+def test_columns_of_every_file_are_loaded(spark, rows, tmp_path):
+    files = [(f"{i}.csv", ",", "name,confidence,evidence_url") for i in range(1_500)] + [("last.csv", ";", "name;confidence;evidence_url;seen")]
+    spark.createDataFrame(files, "source_file string, delimiter string, header_text string").coalesce(1).write.parquet(f"{tmp_path}/rulings_files.parquet")
+    spark.createDataFrame([(1, "last.csv", "A;High;;2024"), (2, "7.csv", "B,low,")], "raw_id long, source_file string, raw_record string").write.parquet(f"{tmp_path}/rulings_raw.parquet")
+    df = p3_loaded(spark, str(tmp_path))
+    assert df.columns == ["raw_id", "confidence", "evidence_url", "name", "seen"]
+    assert rows(df) == [(1, "high", "", "A", "2024"), (2, "low", "", "B", None)]
