@@ -152,3 +152,27 @@ def test_a_hot_name_loses_no_link(spark):
     df = spark.createDataFrame(recs, "key string, kind string, spellings array<string>, affiliations array<string>, orcid string, homepage string")
     got = {tuple(r) for r in linked_variants(df).collect()}
     assert got >= {(f"c{i:03}", f"k{i % 40:03}") for i in range(120)}
+
+
+def test_groups_that_have_settled_are_left_out(monkeypatch):
+    import rollcall.llm.linkage as linkage
+
+    rng, n = np.random.default_rng(5), 400
+    # Single variables, and a chain of ties that takes longer.
+    index, sign = np.full((3 * n - 1, 3), -1), np.zeros((3 * n - 1, 3))
+    offset, weight = np.zeros(3 * n - 1), rng.uniform(0.5, 2, 3 * n - 1)
+    index[:n, 0], sign[:n, 0], offset[:n] = np.arange(n), -1.0, rng.uniform(0.5, 1, n)
+    index[n : 2 * n, 0], sign[n : 2 * n, 0] = np.arange(n), 1.0
+    chain = np.arange(40)
+    index[2 * n : 2 * n + 39, :2], sign[2 * n : 2 * n + 39, :2] = np.stack([chain[:-1], chain[1:]], axis=1), (1.0, -1.0)
+    index, sign, offset, weight = index[: 2 * n + 39], sign[: 2 * n + 39], offset[: 2 * n + 39], weight[: 2 * n + 39]
+    weight[2 * n :] = 50.0
+    part_of, member = np.repeat(np.arange((n - 40) // 2), 2), np.arange(40, n)
+    group = np.concatenate([np.zeros(40, int), 1 + part_of])
+    sizes, real = [], linkage._iterated
+    monkeypatch.setattr(linkage, "_iterated", lambda start, *rest: sizes.append(len(start)) or real(start, *rest))
+    start = rng.uniform(0, 1, n)
+    got = admm(start, index, sign, offset, weight, part_of, member, near=1e-6, group=group)
+    assert sizes[0] == n and sizes[-1] <= 40 and sum(sizes) < len(sizes) * n / 2
+    want = admm(start, index, sign, offset, weight, part_of, member, steps=20_000, near=1e-10)
+    assert np.abs(got - want).max() < 1e-3
